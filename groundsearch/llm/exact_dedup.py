@@ -11,6 +11,7 @@ drops out before the rest is named, as finished suffixes do in prefix doubling.
 Scale: a name table has one row for each distinct block, counted with map-side partial
 aggregation.  It is written out before it is joined, so both join sides are plain exchanges, and
 adaptive execution can split a block or group that holds a third of all rows.  The text moves once.
+Joins are merge joins at every size: a broadcast would only be chosen on small inputs.
 """
 
 from __future__ import annotations
@@ -48,7 +49,7 @@ def name_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = rows.groupBy(*ends).count().filter("count > 1").select(*ends)
     shared = materialise(shared.withColumn("shared", F.lit(True)), "ends")
     split = materialise(
-        rows.join(shared, ends, "left").select(
+        rows.join(shared.hint("merge"), ends, "left").select(
             "rid", "id", "size", F.sha2("body", 256).alias("text_sha256"), F.coalesce("shared", F.lit(False)).alias("shared"),
             F.when(F.col("shared"), F.col("body")).alias("body"),
         ),
@@ -69,7 +70,7 @@ def name_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.posexplode(F.expr(f"transform(sequence(0L, n - 1), i -> substring(body, cast(i * {block} + 1 as int), {block}))")).alias("k", "block"),
     )
     names = _names(blocks, ["block"], "blocks")
-    level = materialise(blocks.join(names, "block").select("rid", "id", "size", "n", "k", "name"), "level")
+    level = materialise(blocks.join(names.hint("merge"), "block").select("rid", "id", "size", "n", "k", "name"), "level")
     done, width = [level.filter("n = 1")], 1
     while width * block < most:
         pairs = level.filter(F.col("n") > width).groupBy("rid", "id", "size", "n", F.expr("k div 2").cast("int").alias("k")).agg(
@@ -77,7 +78,7 @@ def name_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             F.coalesce(F.max(F.when(F.col("k") % 2 == 1, F.col("name"))), F.lit(-1)).alias("right"),
         )
         names = _names(pairs, ["left", "right"], "pairs")
-        level = materialise(pairs.join(names, ["left", "right"]).select("rid", "id", "size", "n", "k", "name"), "level")
+        level = materialise(pairs.join(names.hint("merge"), ["left", "right"]).select("rid", "id", "size", "n", "k", "name"), "level")
         done.append(level.filter(F.col("n").between(width + 1, 2 * width)))
         width *= 2
     named = done[0]
@@ -85,10 +86,10 @@ def name_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         named = named.unionByName(part)
     groups = named.groupBy("size", "name").agg(F.count(F.lit(1)).alias("group_size"), F.max(F.struct("id", "rid")).alias("keep"))
     groups = materialise(groups, "groups")
-    found = named.join(groups, ["size", "name"]).select(
+    found = named.join(groups.hint("merge"), ["size", "name"]).select(
         "rid", F.col("keep.id").alias("keep_id"), "group_size", (F.col("rid") == F.col("keep.rid")).alias("kept")
     )
-    repeated = split.filter("shared").select("rid", "id", "text_sha256").join(found, "rid")
+    repeated = split.filter("shared").select("rid", "id", "text_sha256").join(found.hint("merge"), "rid")
     return alone.unionByName(repeated)
 
 
@@ -98,7 +99,7 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     while name in docs.columns:
         name += "_"
     gone = name_documents(docs, id_col, text_col).filter("not kept").select(F.col("rid").alias(name))
-    return row_ids(docs, name).join(materialise(gone, "gone"), name, "left_anti").select(*docs.columns)
+    return row_ids(docs, name).join(materialise(gone, "gone").hint("merge"), name, "left_anti").select(*docs.columns)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
