@@ -48,10 +48,10 @@ def _fold_table() -> np.ndarray:
 FOLD = _fold_table()
 
 
-def codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def codes(texts: list[bytes], fold: np.ndarray = FOLD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(codes, first, last): the 4-gram code of each position; a text's own codes lie in [first, last), its end mark included."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    symbols = FOLD[np.frombuffer(_GAP[1:] + _GAP.join(texts) + b"\0", np.uint8)]
+    symbols = fold[np.frombuffer(_GAP[1:] + _GAP.join(texts) + b"\0", np.uint8)]
     first = np.concatenate([[0], np.cumsum(sizes + ORDER)[:-1]]) if len(texts) else np.zeros(0, np.int64)
     grams = symbols[:-3] << 18
     grams |= symbols[1:-2] << 12
@@ -73,7 +73,7 @@ def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
-def count_grams(df: DataFrame, text_col: str, label_col: str | None = None) -> DataFrame:
+def count_grams(df: DataFrame, text_col: str, label_col: str | None = None, fold: np.ndarray = FOLD) -> DataFrame:
     """(label int, code int, n long) over every row of df; label is 0, or the row's integer label."""
     take = df.select(F.col(text_col).alias("text"), (F.col(label_col).cast("int") if label_col else F.lit(0)).alias("label"))
 
@@ -91,7 +91,7 @@ def count_grams(df: DataFrame, text_col: str, label_col: str | None = None) -> D
             texts, labels = as_bytes(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False)
             for label in np.unique(labels):
                 label = int(label)
-                own = _own(*codes([t for t, x in zip(texts, labels, strict=True) if x == label]))
+                own = _own(*codes([t for t, x in zip(texts, labels, strict=True) if x == label], fold))
                 held.setdefault(label, []).append(own)
                 sizes[label] = sizes.get(label, 0) + len(own)
                 if sizes[label] >= GATHER:
@@ -120,9 +120,10 @@ def _discounts(counts: np.ndarray) -> np.ndarray:
 
 @dataclass
 class GramModel:
-    """keys: sorted hashes of the 4-grams seen; logp: log2 P(symbol | three before) of each; lower: log2 P by 3-gram; backoff: log2 of a context's mass for unseen symbols."""
+    """keys: sorted hashes of the 4-grams seen, grams: their codes; logp: log2 P(symbol | three before) of each; lower: log2 P by 3-gram; backoff: log2 of a context's mass for unseen symbols."""
 
     keys: np.ndarray
+    grams: np.ndarray
     logp: np.ndarray
     lower: np.ndarray
     backoff: np.ndarray
@@ -137,9 +138,9 @@ class GramModel:
 
     def table(self) -> np.ndarray:
         """All 64^4 answers of lookup(), 67 MB: a worker that scores many texts makes it once."""
-        out = np.empty(GRAMS, np.float32)
-        for at in range(0, GRAMS, step := 1 << 20):
-            out[at : at + step] = self.lookup(np.arange(at, at + step, dtype=np.int64))
+        middle = SYMBOLS ** (ORDER - 2)
+        out = (self.backoff.reshape(SYMBOLS, middle, 1) + self.lower.reshape(1, middle, SYMBOLS)).reshape(GRAMS)
+        out[self.grams] = self.logp
         return out
 
 
@@ -161,7 +162,7 @@ def kneser_ney(code: np.ndarray, n: np.ndarray) -> GramModel:
         if order == ORDER:
             key = _mix(at)
             by = np.argsort(key)
-            out = GramModel(key[by], np.log2(p_seen[by]).astype(np.float32), np.log2(lower).astype(np.float32), np.log2(np.maximum(mass, 1e-12)).astype(np.float32))
+            out = GramModel(key[by], at[by].astype(np.int32), np.log2(p_seen[by]).astype(np.float32), np.log2(lower).astype(np.float32), np.log2(np.maximum(mass, 1e-12)).astype(np.float32))
         else:
             every = np.arange(SYMBOLS**order)
             p = mass[every >> BITS] * lower[wide(every)]
@@ -202,8 +203,8 @@ def train(counts: DataFrame, label: int = 0) -> GramModel:
     return kneser_ney(got.column("code").to_numpy(), got.column("n").to_numpy())
 
 
-def log_probs(table: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def log_probs(table: np.ndarray, texts: list[bytes], fold: np.ndarray = FOLD) -> tuple[np.ndarray, np.ndarray]:
     """(log2 P, symbols) of each text, end mark included."""
-    grams, first, last = codes(texts)
+    grams, first, last = codes(texts, fold)
     total = np.concatenate([[0.0], np.cumsum(table[grams], dtype=np.float64)])
     return total[last] - total[first], last - first
