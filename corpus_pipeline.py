@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from groundsearch.llm import common, exact_dedup, quality_rules
+from groundsearch.llm import common, exact_dedup, mixing, near_dedup, packing, quality_rules
 
 _SCOPE = "pipeline"
 
@@ -23,6 +23,9 @@ def _stage(operator):
 STAGES = [
     ("quality_rules", _stage(quality_rules.drop_rejected)),
     ("exact_dedup", _stage(exact_dedup.drop_exact_copies)),
+    ("near_dedup", _stage(near_dedup.drop_near_copies)),
+    ("mixing", _stage(mixing.mix_documents)),
+    ("packing", _stage(packing.pack_documents)),
 ]
 
 #: The perplexity model of the first stage and the alignment of the third have no SQL form.
