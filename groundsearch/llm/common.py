@@ -1,4 +1,4 @@
-"""Helpers shared by the operators of this package: shared-folder tables, Arrow batch limits, JSON-free table reads."""
+"""Helpers shared by the operators of this package: shared-folder tables, Arrow batch limits, table reads."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from groundsearch.shipping import ship_package
+
 #: ASCII white space that ends a word: space and U+0009 to U+000D.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
@@ -43,7 +45,19 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     df.write.parquet(path)
     if _scopes:
         _written.setdefault(_scopes[-1], []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that materialise() gave and that no result reads any more."""
+    _delete(df.sparkSession, df.written_to)
 
 
 @contextmanager
@@ -58,14 +72,13 @@ def scratch_scope(name: str):
 
 def sweep(spark: SparkSession, name: str) -> None:
     """Delete what materialise() wrote in the scope.  Call it only when every result of the scope has been written out."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for path in _written.pop(name, []):
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(conf).delete(where, True)
+        _delete(spark, path)
 
 
 def arrow_batches(spark: SparkSession, rows: int = 512, megabytes: int = 16) -> None:
-    """Bound the Arrow batches that Python workers get, so that long texts don't fill their memory."""
+    """Make the package known to Python workers, and bound their Arrow batches so that long texts don't fill their memory."""
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from groundsearch.llm import chat_format, exact_dedup, mixing, near_dedup, packing, quality_rules, sharding, url_filter
+from groundsearch.llm import chat_format, exact_dedup, mixing, near_dedup, packing, quality_rules, sharding, span_dedup, token_counts, url_filter
 
 QUERIES = {
+    "op1_token_counts": token_counts.op1_token_counts,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_mixing": mixing.op3_mixing,
     "op4_packing": packing.op4_packing,
     "op5_sharding": sharding.op5_sharding,
     "op6_chat_format": chat_format.op6_chat_format,
+    "op7_span_dedup": span_dedup.op7_span_dedup,
     "op8_url_filter": url_filter.op8_url_filter,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_near_dedup": near_dedup.op10_near_dedup,
