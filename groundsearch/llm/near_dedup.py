@@ -5,10 +5,12 @@ picks the `PICKS` labelled k-mers with the least values, and their hash in text
 Texts that share a sketch are candidates, and those whose word edit similarity is `SIMILARITY` or more
 are linked; linked texts are one class.
 
-Exact copies are folded into one row for each text first.  A bucket's members are compared with its pivot, its least row, so
-a bucket of n texts gives n - 1 pairs.  A member that doesn't fit the pivot is compared with the others too: with all of a
-small bucket, and in a large one, which a common passage makes, with those that share one of its
-rarest words (an exact prefix filter).  No bucket is cut.
+Exact copies are folded into one row for each text first.  A bucket's members are compared with a pivot, so
+a bucket of n texts gives n - 1 pairs.  Links so far make components, and a member that is in
+another one than its bucket's pivot goes on: in a small bucket it is compared with all members of other
+components.  A large one, which a common passage makes, is dealt anew by the rarest words of its texts
+(the prefix filter, which loses no pair): small word buckets are compared in full, large ones with a
+pivot.  So the pairs grow as the rows, and no bucket is cut.
 
 Scale: what is shuffled is sketches (8 bytes each) and, once, texts.  Bucket tables are written before
 joins, so adaptive execution may split hot buckets, pivots and classes.
@@ -29,8 +31,8 @@ from groundsearch.llm.common import arrow_batches, materialise, read_table, row_
 from groundsearch.llm.components import components
 from groundsearch.llm.ngrams import as_bytes
 
-K, PICKS, SKETCHES, SIMILARITY = 5, 2, 32, 0.8
-#: Members of a bucket up to which those that don't fit the pivot are compared with every member.
+K, PICKS, SKETCHES, SIMILARITY = 5, 3, 48, 0.8
+#: Members of a bucket up to which those apart from the pivot are compared with every member.
 SMALL = 12
 _RANDOM = np.random.default_rng(11)
 _ODD = _RANDOM.integers(0, 1 << 63, 4 * SKETCHES + K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -75,19 +77,20 @@ def labelled_kmers(words: list[bytes], k: int = K) -> np.ndarray:
     return grams
 
 
-def order_sketches(grams: np.ndarray, sketches: int = SKETCHES) -> np.ndarray:
-    """The order MinHash sketches of labelled k-mers (PICKS is 2)."""
+def order_sketches(grams: np.ndarray, sketches: int = SKETCHES, picks: int = PICKS) -> np.ndarray:
+    """The order MinHash sketches of labelled k-mers; a text with fewer than `picks` uses all of them."""
     if not len(grams):
         return np.zeros(0, np.uint64)
-    each, out, step = np.arange(sketches, dtype=np.uint64), np.empty(sketches, np.uint64), max(1, (1 << 20) // len(grams))
+    out, step = np.arange(sketches, dtype=np.uint64), max(1, (1 << 20) // len(grams))
     for at in range(0, sketches, step):
         values = grams[None, :] * _ODD[at : min(at + step, sketches), None]
-        row = np.arange(len(values))
-        one = values.argmin(1)
-        values[row, one] = np.uint64(0xFFFFFFFFFFFFFFFF)
-        two = values.argmin(1) if len(grams) > 1 else one
-        out[at : at + len(values)] = mix(grams[np.minimum(one, two)] * np.uint64(0xD6E8FEB86659FD93) + mix(grams[np.maximum(one, two)]))
-    return mix(out + each * np.uint64(0xA0761D6478BD642F))
+        row, best = np.arange(len(values)), []
+        for _ in range(min(picks, len(grams))):
+            best.append(values.argmin(1))
+            values[row, best[-1]] = np.uint64(0xFFFFFFFFFFFFFFFF)
+        for place in np.sort(np.stack(best), 0):  # in text order
+            out[at : at + len(values)] = mix(out[at : at + len(values)] * np.uint64(0xD6E8FEB86659FD93) + grams[place])
+    return out
 
 
 def sketch_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -125,27 +128,42 @@ def _aligned(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 def links(rows: DataFrame, docs: DataFrame, text_col: str, least: float = SIMILARITY) -> DataFrame:
     """a, b: verified links between the rows of sketch_rows(), one for each different text; docs has a rid column."""
     members = materialise(rows.select("rid", "n_words", F.explode("sketches").alias("sketch")), "members")
-    buckets = members.groupBy("sketch").agg(F.min(F.struct("rid", "n_words")).alias("pivot"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    buckets = members.groupBy("sketch").agg(_pivot("sketch", "rid", "n_words"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = members.join(materialise(buckets, "buckets").hint("merge"), "sketch")
     members = materialise(members.select("sketch", "rid", "n_words", "pivot", "size"), "members")
     needed = materialise(members.select("rid").distinct(), "needed")
     texts = materialise(docs.select("rid", F.col(text_col).alias("text")).join(needed.hint("merge"), "rid"), "texts")
-    decided = _decide(left := members.filter(F.col("rid") != F.col("pivot.rid")).select(
-        F.col("rid").alias("a"), F.col("pivot.rid").alias("b"), F.col("n_words").alias("n_a"), F.col("pivot.n_words").alias("n_b"), "sketch", "size"
-    ), texts, least)
-    failed = left.join(decided.filter("not linked").select("a", "b").hint("merge"), ["a", "b"]).select("sketch", F.col("a").alias("rid"), F.col("n_a").alias("n_words"), "size")
-    failed = materialise(failed, "failed")
-    small, big = failed.filter(F.col("size") <= SMALL), failed.filter(F.col("size") > SMALL)
-    others = members.filter((F.col("size") <= SMALL) & (F.col("rid") != F.col("pivot.rid")))
-    more = _pairs(small, others, ["sketch"]).unionByName(_pairs(*[_with_prefixes(big, texts, least)] * 2, ["sketch", "token"]))
-    rest = _decide(more, texts, least)
+    left = members.filter(F.col("rid") != F.col("pivot.rid"))
+    to_pivot = lambda m: m.select(F.col("rid").alias("a"), F.col("pivot.rid").alias("b"), F.col("n_words").alias("n_a"), F.col("pivot.n_words").alias("n_b"))
+    decided = _decide(to_pivot(left), texts, least)
+
+    # What pivots have linked so far is one; only members apart from their bucket's pivot go on.
+    label = components(decided.filter("linked").select("a", "b"))
+    members = members.join(label.withColumnRenamed("node", "rid").hint("merge"), "rid", "left").withColumn("label", F.coalesce("label", "rid"))
+    members = materialise(members, "members")
+    pivots = label.select(F.col("node").alias("pivot_rid"), F.col("label").alias("pivot_label")).hint("merge")
+    apart = members.withColumn("pivot_rid", F.col("pivot.rid")).join(pivots, "pivot_rid", "left")
+    apart = materialise(apart.filter(F.col("label") != F.coalesce("pivot_label", "pivot_rid")).select("sketch", "rid", "n_words", "size", "label"), "apart")
+    more = _pairs(apart.filter(F.col("size") <= SMALL), members.filter(F.col("size") <= SMALL), "sketch")
+    big = _with_prefixes(apart.filter(F.col("size") > SMALL).select("rid", "n_words", "label").distinct(), texts, least)
+    tokens = big.groupBy("token").agg(_pivot("token", "rid", "n_words", "label"), F.count(F.lit(1)).alias("size"))
+    big = materialise(big.join(materialise(tokens, "tokens").hint("merge"), "token"), "prefixes")
+    few = big.filter(F.col("size") <= SMALL)
+    many = big.filter((F.col("size") > SMALL) & (F.col("label") != F.col("pivot.label")))
+    rest = _decide(more.unionByName(_pairs(few, few, "token")).unionByName(to_pivot(many)), texts, least)
     return decided.unionByName(rest).filter("linked").select("a", "b")
 
 
-def _pairs(some: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
-    """a > b, n_a, n_b: rows of some and others (rid, n_words) that share the keys."""
+def _pivot(key: str, *columns: str):
+    """The member of a bucket by which the others are tested: the least by one of four hashes, which the bucket's key picks."""
+    return F.min(F.struct(F.xxhash64("rid", F.pmod(key, F.lit(4))).alias("order"), *columns)).alias("pivot")
+
+
+def _pairs(some: DataFrame, others: DataFrame, key: str) -> DataFrame:
+    """a, b, n_a, n_b with a > b: rows of some and others (rid, n_words, label) with the same key and different labels; buckets are small."""
     one, two = F.struct("rid", "n_words"), F.struct(F.col("rid_").alias("rid"), F.col("n_words_").alias("n_words"))
-    both = some.select("rid", "n_words", *keys).join(others.select(F.col("rid").alias("rid_"), F.col("n_words").alias("n_words_"), *keys).hint("merge"), keys).filter("rid <> rid_")
+    right = others.select(key, F.col("rid").alias("rid_"), F.col("n_words").alias("n_words_"), F.col("label").alias("label_"))
+    both = some.select(key, "rid", "n_words", "label").join(right.hint("merge"), key).filter("label <> label_")
     both = both.select(F.greatest(one, two).alias("x"), F.least(one, two).alias("y"))
     return both.select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b"), F.col("x.n_words").alias("n_a"), F.col("y.n_words").alias("n_b"))
 
@@ -158,13 +176,13 @@ def _decide(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
 
 def _with_prefixes(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """members (sketch, rid, n_words) with each token of the text's prefix that another one has too.
+    """members (rid, n_words, label) with each token of the text's prefix that another one has too.
 
     Tokens are (word, how often it came before), rarest first, and the prefix of n of them has
     n - ceil(least * n) + 1.  Texts with edit similarity `least` have that share of the longer one's tokens in common, so they
-    share a token of their prefixes: no link is lost.
+    share a token of their prefixes.
     """
-    wanted = texts.join(members.select("rid").distinct().hint("merge"), "rid")
+    wanted = texts.join(members.select("rid").hint("merge"), "rid")
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,12 +191,13 @@ def _with_prefixes(members: DataFrame, texts: DataFrame, least: float) -> DataFr
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(made), rid, np.int64)), pa.array(made)], ["rid", "token"])
 
     rows = materialise(wanted.select("rid", "text").mapInArrow(tokens, "rid long, token long"), "tokens")
-    known = rows.join(rows.groupBy("token").agg(F.count(F.lit(1)).alias("n")), "token")
+    counts = materialise(rows.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "counts")
+    known = rows.join(counts.hint("merge"), "token", "left").withColumn("n", F.coalesce("n", F.lit(1)))
     sorted_ = known.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("t"))
     size = F.size("t")
     prefix = sorted_.select("rid", F.explode(F.slice("t", F.lit(1), (size - F.ceil(size * F.lit(least) - 1e-9) + 1).cast("int"))).alias("t"))
     prefix = prefix.filter("t.n > 1").select("rid", F.col("t.token").alias("token"))
-    return materialise(members.select("sketch", "rid", "n_words").join(prefix.hint("merge"), "rid"), "prefixes")
+    return materialise(members.join(prefix.hint("merge"), "rid"), "prefixes")
 
 
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
