@@ -34,7 +34,7 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 def read_texts(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """spec (the folder), version, source (the file name), text of each .txt file under path; with limit, of the first folders only."""
-    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(path)
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.txt")
     parts = F.split(F.col("_metadata.file_path"), "/")
     rows = files.select(F.element_at(parts, -2).alias("spec"), F.element_at(parts, -1).alias("source"), F.col("value").alias("text"))
     rows = rows.select("spec", version_of(F.regexp_replace("source", r"\.txt\z", "")).alias("version"), "source", "text")
