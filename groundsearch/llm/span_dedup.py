@@ -11,7 +11,7 @@ anchor's context is all bytes that a window around it can reach.
    number of bytes and streams matching statistics; places with a match of `length` or more start
    repeated strings.
 3. An anchor with more than `WIDE` different contexts (a passage in very many documents) doesn't fit one index: its
-   contexts are cut into windows, which are counted by hash with map-side aggregation.
+   windows are counted by hash with map-side aggregation, many at once where they agree.
 
 Scale: shuffled are anchors (some 1% of text positions), the contexts of step 2, and the texts twice, by
 row.  Every join side is a written table or a plain exchange, so hot anchors and contexts can be split.
@@ -35,7 +35,7 @@ from groundsearch.llm.run_index import RunLengthIndex
 
 LENGTH, GRAM = 400, 128
 #: Different contexts of one anchor that an index takes, and bytes of one index.
-WIDE, INDEX_BYTES = 3000, 2 << 20
+WIDE, INDEX_BYTES = 500, 2 << 20
 #: Gram places worked on at once.
 BLOCK = 1 << 17
 _RANDOM = np.random.default_rng(17)
@@ -182,20 +182,50 @@ def _indexed(contexts: DataFrame, length: int) -> DataFrame:
     return contexts.select("anchor", "rid", "low", "part").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "rid long, low long, high long")
 
 
-def _windowed(contexts: DataFrame, length: int) -> DataFrame:
-    """The same for anchors with very many contexts: windows counted by 128-bit hash."""
+def _windowed(contexts: DataFrame, length: int, gram: int) -> DataFrame:
+    """The same for anchors with very many contexts (anchor, rid, place, low, part), by counting hashes in two steps.
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rid, low, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                n = len(part) - length + 1
-                hashes = [xxhash.xxh3_128_digest(part[i : i + length]) for i in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), pa.array(np.full(n, rid, np.int64)), pa.array(np.arange(low, low + n, dtype=np.int64))], ["window", "rid", "low"])
+    The windows around an anchor start in some span + 1 places, cut into ranges of about the root of that.  Where a range's
+    bytes occur twice, all its windows are repeated; where what its windows have in common occurs once, none is.  Only the
+    ranges between are cut into single windows, with one of each kind that shares their common bytes.
+    """
+    span = length - gram
+    step = int(span**0.5) + 1
+    digest = lambda anchor, offset, data: xxhash.xxh3_128_digest(anchor.to_bytes(8, "little", signed=True) + offset.to_bytes(4, "little") + data)
 
-    windows = materialise(contexts.select("rid", F.col("low").cast("long").alias("low"), "part").mapInArrow(cut, "window binary, rid long, low long"), "windows")
-    place = F.struct("rid", "low")
-    again = windows.groupBy("window").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b").select("window")
-    return windows.join(materialise(again, "again").hint("merge"), "window").select("rid", "low", (F.col("low") + length).alias("high"))
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for anchor, rid, place, low, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for offset in range(0, span + 1, step):
+                    first, last = place - span + offset, place - span + min(offset + step - 1, span)
+                    a, b = max(first, low), min(last, low + len(part) - length)
+                    if a <= b:
+                        clip = (a - first).to_bytes(4, "little") + (last - b).to_bytes(4, "little")
+                        rows.append((digest(anchor, offset, part[last - low : first + length - low]), digest(anchor, offset, clip + part[a - low : b + length - low]), rid, place, a, b))
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i < 2 else pa.int64()) for i, c in enumerate(columns)], ["core", "whole", "rid", "place", "a", "b"])
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for anchor, rid, place, low, part, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows += [(digest(anchor, s - place + span, part[s - low : s + length - low]), rid, s) for s in range(a, b + 1)]
+            columns = list(zip(*rows, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i < 1 else pa.int64()) for i, c in enumerate(columns)], ["window", "rid", "low"])
+
+    parts = contexts.select("anchor", "rid", "place", "low", "part")
+    cut = materialise(parts.mapInArrow(ranges, "core binary, whole binary, rid long, place long, a long, b long"), "ranges")
+    kinds = cut.groupBy("core", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "place", "a", "b")).alias("one"))
+    kinds = materialise(kinds, "kinds")
+    twice = cut.join(kinds.filter("n > 1").select("core", "whole").hint("merge"), ["core", "whole"]).select("rid", F.col("a").alias("low"), (F.col("b") + length).alias("high"))
+    between = kinds.groupBy("core").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).filter("kinds > 1 and least = 1").select("core")
+    between = kinds.join(materialise(between, "between").hint("merge"), "core").select("one.rid", "one.place", "one.a", "one.b")
+    single = parts.join(materialise(between, "between").hint("merge"), ["rid", "place"]).select("anchor", "rid", "place", "low", "part", "a", "b")
+    single = materialise(single.mapInArrow(windows, "window binary, rid long, low long"), "windows")
+    again = single.groupBy("window").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("window")
+    repeated = single.join(materialise(again, "again").hint("merge"), "window").select("rid", "low", (F.col("low") + length).alias("high"))
+    return twice.unionByName(repeated)
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, wide: int = WIDE) -> DataFrame:
@@ -212,14 +242,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, wide
 
     border = contexts.filter("mixed")
     kinds = border.groupBy("anchor").agg((F.count(F.lit(1)) > wide).alias("wide"))
-    border = border.join(materialise(kinds, "kinds").hint("merge"), "anchor").select("anchor", "wide", "one.rid", "one.low", "one.high")
-    per = border.groupBy("rid").agg(F.collect_list(F.struct("anchor", "wide", "low", "high")).alias("parts"))
+    border = border.join(materialise(kinds, "kinds").hint("merge"), "anchor").select("anchor", "wide", "one.rid", "one.place", "one.low", "one.high")
+    per = border.groupBy("rid").agg(F.collect_list(F.struct("anchor", "wide", "place", "low", "high")).alias("parts"))
     body = docs.select("rid", F.col("text").cast("binary").alias("body")).join(materialise(per, "border").hint("merge"), "rid")
     body = body.select("rid", "body", F.explode("parts").alias("p")).select(
-        "rid", "p.anchor", "p.wide", "p.low", F.expr("substring(body, p.low + 1, p.high - p.low)").alias("part")
+        "rid", "p.anchor", "p.wide", "p.place", "p.low", F.expr("substring(body, p.low + 1, p.high - p.low)").alias("part")
     )
     body = materialise(body, "parts")
-    return spans.unionByName(_indexed(body.filter("not wide"), length)).unionByName(_windowed(body.filter("wide"), length))
+    return spans.unionByName(_indexed(body.filter("not wide"), length)).unionByName(_windowed(body.filter("wide"), length, gram))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, wide: int = WIDE) -> DataFrame:
