@@ -86,7 +86,11 @@ def arrow_batches(spark: SparkSession, rows: int = 512, megabytes: int = 16) ->
 def row_ids(docs: DataFrame, name: str = "rid") -> DataFrame:
     """Add a unique id for each row, so that null or repeated document ids do no harm.
 
-    monotonically_increasing_id() gives a row the same id on each run as long as docs is a file scan
-    (with filters or projections on it), which keeps its splits and row order.
+    monotonically_increasing_id() gives a row the same id in each job as long as docs is a file scan
+    (with filters or projections on it) that keeps its splits and row order.  Splits depend on the
+    number of cores unless spark.sql.files.minPartitionNum is set, and executors come and go, so it is set here.
     """
+    spark = docs.sparkSession
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
     return docs.withColumn(name, F.monotonically_increasing_id())
