@@ -85,7 +85,7 @@ def tokens(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id:
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
-    """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_tokens.
+    """One row per piece: id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_tokens.
 
     Null or empty text is the end id alone.  Rows that repeat an id are packed each; ties on the curve go by id, then
     by row.  An empty table gives no pieces.  A sequence has `length` tokens, or a smaller power of two.
@@ -157,8 +157,8 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if rows:
             yield batch_of(id_kind)
 
-    return ordered.mapInArrow(cut, f"id {kind}, " + ", ".join(f"{x} long" for x in names[1:]))
+    return ordered.mapInArrow(cut, f"id {kind}, " + ", ".join(f"{x} long" for x in names[1:])).withColumnRenamed("id", id_col)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(read_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    return pack_documents(read_table(spark, sf_dir, "documents"))

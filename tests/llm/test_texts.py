@@ -67,7 +67,7 @@ def test_packing_round_trip(spark):
     pieces = packing.pack_documents(frame(spark, texts), length=128).collect()
     of, sequences = defaultdict(list), defaultdict(list)
     for p in pieces:
-        of[p.id].append(p)
+        of[p.doc_id].append(p)
         sequences[p.sequence_id].append(p)
     assert set(of) == set(range(len(texts)))
     for i, t in enumerate(texts):
