@@ -2,7 +2,8 @@
 
 Rows and questions are packed into blocks of vectors.  Each pair of blocks is one matrix product in a
 Python worker, which passes on the k best rows of each question, so what is shuffled is
-k * questions * row blocks and no pair of vectors is a row of its own.
+k * questions * row blocks and no pair of vectors is a row of its own.  Question blocks are broadcast behind a
+check of their number, and beyond it pairs of partitions are tasks.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from groundsearch.operators.keyword import TIE_DIGITS, TOP, top_k
 from groundsearch.shipping import ship_package
 
 BLOCK = 2048
+#: Questions up to which their blocks are sent to every task: 60 MB of vectors of 384 dimensions.
+BROADCAST_QUESTIONS = 40_000
 
 
 def _packed(df: DataFrame, id_col: str, vector_col: str, block: int) -> DataFrame:
@@ -56,6 +59,8 @@ def dense_topk(rows: DataFrame, queries: DataFrame, k: int = TOP, id_col: str =
                 good = ~np.isnan(picked.ravel())
                 yield pa.RecordBatch.from_arrays([pa.array(q[good]), pa.array(ids[by].ravel()[good]), pa.array(picked.ravel()[good])], ["query_id", "id", "dense_sim"])
 
+    if queries.select(query_id).limit(BROADCAST_QUESTIONS + 1).count() <= BROADCAST_QUESTIONS:
+        right = F.broadcast(right)  # packed once, instead of once for each partition of rows
     found = left.crossJoin(right).mapInArrow(best, "query_id long, id long, dense_sim double")
     return top_k(found, "dense_sim", k, "dense_rank")
 
