@@ -8,7 +8,7 @@ are linked; linked texts are one class.
 Exact copies are folded into one row for each text first.  A bucket's members are compared with a pivot, so
 a bucket of n texts gives n - 1 pairs.  Links so far make components, and a member that is in
 another one than its bucket's pivot goes on: in a small bucket it is compared with all members of other
-components.  A large one, which a common passage makes, is dealt anew by the rarest words of its texts
+components.  A large one, which a common passage makes, is dealt anew by the longest words of its texts
 (the prefix filter, which loses no pair): small word buckets are compared in full, large ones with a
 pivot.  So the pairs grow as the rows, and no bucket is cut.
 
@@ -146,7 +146,8 @@ def links(rows: DataFrame, docs: DataFrame, text_col: str, least: float = SIMILA
     apart = materialise(apart.filter(F.col("label") != F.coalesce("pivot_label", "pivot_rid")).select("sketch", "rid", "n_words", "size", "label"), "apart")
     more = _pairs(apart.filter(F.col("size") <= SMALL), members.filter(F.col("size") <= SMALL), "sketch")
     big = _with_prefixes(apart.filter(F.col("size") > SMALL).select("rid", "n_words", "label").distinct(), texts, least)
-    tokens = big.groupBy("token").agg(_pivot("token", "rid", "n_words", "label"), F.count(F.lit(1)).alias("size"))
+    tokens = big.groupBy("token").agg(_pivot("token", "rid", "n_words", "label"), F.count(F.lit(1)).alias("size"), (F.min("label") != F.max("label")).alias("mixed"))
+    tokens = tokens.filter("mixed").drop("mixed")
     big = materialise(big.join(materialise(tokens, "tokens").hint("merge"), "token"), "prefixes")
     few = big.filter(F.col("size") <= SMALL)
     many = big.filter((F.col("size") > SMALL) & (F.col("label") != F.col("pivot.label")))
@@ -176,28 +177,25 @@ def _decide(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
 
 def _with_prefixes(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """members (rid, n_words, label) with each token of the text's prefix that another one has too.
+    """members (rid, n_words, label) with each token of the text's prefix.
 
-    Tokens are (word, how often it came before), rarest first, and the prefix of n of them has
-    n - ceil(least * n) + 1.  Texts with edit similarity `least` have that share of the longer one's tokens in common, so they
-    share a token of their prefixes.
+    Tokens are (word, how often it came before), longest words first, as these are mostly the rare ones, and the prefix of n of
+    them has n - ceil(least * n) + 1.  Texts with edit similarity `least` have that share of the longer one's tokens in common, so
+    under any order that all texts share they have a token of their prefixes in common.
     """
-    wanted = texts.join(members.select("rid").hint("merge"), "rid")
+    wanted = members.join(texts.hint("merge"), "rid").select("rid", "n_words", "label", "text")
 
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rid, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
-                made = labelled_kmers(text.split(), 1).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(made), rid, np.int64)), pa.array(made)], ["rid", "token"])
-
-    rows = materialise(wanted.select("rid", "text").mapInArrow(tokens, "rid long, token long"), "tokens")
-    counts = materialise(rows.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "counts")
-    known = rows.join(counts.hint("merge"), "token", "left").withColumn("n", F.coalesce("n", F.lit(1)))
-    sorted_ = known.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("t"))
-    size = F.size("t")
-    prefix = sorted_.select("rid", F.explode(F.slice("t", F.lit(1), (size - F.ceil(size * F.lit(least) - 1e-9) + 1).cast("int"))).alias("t"))
-    prefix = prefix.filter("t.n > 1").select("rid", F.col("t.token").alias("token"))
-    return materialise(members.join(prefix.hint("merge"), "rid"), "prefixes")
+            for rid, n, label, text in zip(*(c.to_pylist() for c in batch.columns[:3]), as_bytes(batch.column(3)), strict=True):
+                words = text.split()
+                made = labelled_kmers(words, 1)
+                by = np.lexsort((made, -np.fromiter(map(len, words), np.int64, len(words))))
+                made = made[by[: len(made) - int(np.ceil(least * len(made) - 1e-9)) + 1]].view(np.int64)
+                same = [pa.array(np.full(len(made), x, np.int64)) for x in (rid, n, label)]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(made)], ["rid", "n_words", "label", "token"])
+
+    return materialise(wanted.mapInArrow(prefixes, "rid long, n_words long, label long, token long"), "prefixes")
 
 
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
