@@ -8,9 +8,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from groundsearch.shipping import ship_package
+
 DIMS = 384
 
 
@@ -98,6 +100,8 @@ def api_provider(post: Callable[[dict], dict], model: str, dims: int) -> Provide
 
 def embed(tokens: Column, provider: Provider = hash_provider, batch: int = 64) -> Column:
     """Vectors of token arrays by an embedding provider, in batches that keep the order."""
+    if session := SparkSession.getActiveSession():
+        ship_package(session)
 
     @F.pandas_udf("array<float>")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
