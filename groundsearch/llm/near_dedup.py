@@ -8,9 +8,9 @@ are linked; linked texts are one class.
 Exact copies are folded into one row for each text first.  A bucket's members are compared with a pivot, so
 a bucket of n texts gives n - 1 pairs.  Links so far make components, and a member that is in
 another one than its bucket's pivot goes on: in a small bucket it is compared with all members of other
-components.  A large one, which a common passage makes, is dealt anew by the longest words of its texts
-(the prefix filter, which loses no pair): small word buckets are compared in full, large ones with a
-pivot.  So the pairs grow as the rows, and no bucket is cut.
+components.  A large one, which a common passage or a group of copies makes, goes on whole: it is dealt anew by the
+rarest words of its texts (the prefix filter, which loses no pair), and in each of these word buckets the
+members apart are compared with all of other components that lengths and positions allow.  So no bucket is cut.
 
 Scale: what is shuffled is sketches (8 bytes each) and, once, texts.  Bucket tables are written before
 joins, so adaptive execution may split hot buckets, pivots and classes.
@@ -34,6 +34,10 @@ from groundsearch.llm.ngrams import as_bytes
 K, PICKS, SKETCHES, SIMILARITY = 5, 3, 48, 0.8
 #: Members of a bucket up to which those apart from the pivot are compared with every member.
 SMALL = 12
+#: Partners in small buckets up to which a text is compared with each of them; with more, its rare words choose among them.
+PARTNERS = 16
+#: Hash bits by which the words of large buckets are counted, to take rare ones first.
+SLOT_BITS = 20
 _RANDOM = np.random.default_rng(11)
 _ODD = _RANDOM.integers(0, 1 << 63, 4 * SKETCHES + K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -144,14 +148,17 @@ def links(rows: DataFrame, docs: DataFrame, text_col: str, least: float = SIMILA
     pivots = label.select(F.col("node").alias("pivot_rid"), F.col("label").alias("pivot_label")).hint("merge")
     apart = members.withColumn("pivot_rid", F.col("pivot.rid")).join(pivots, "pivot_rid", "left")
     apart = materialise(apart.filter(F.col("label") != F.coalesce("pivot_label", "pivot_rid")).select("sketch", "rid", "n_words", "size", "label"), "apart")
-    more = _pairs(apart.filter(F.col("size") <= SMALL), members.filter(F.col("size") <= SMALL), "sketch")
-    big = _with_prefixes(apart.filter(F.col("size") > SMALL).select("rid", "n_words", "label").distinct(), texts, least)
-    tokens = big.groupBy("token").agg(_pivot("token", "rid", "n_words", "label"), F.count(F.lit(1)).alias("size"), (F.min("label") != F.max("label")).alias("mixed"))
-    tokens = tokens.filter("mixed").drop("mixed")
-    big = materialise(big.join(materialise(tokens, "tokens").hint("merge"), "token"), "prefixes")
-    few = big.filter(F.col("size") <= SMALL)
-    many = big.filter((F.col("size") > SMALL) & (F.col("label") != F.col("pivot.label")))
-    rest = _decide(more.unionByName(_pairs(few, few, "token")).unionByName(to_pivot(many)), texts, least)
+    # A large bucket with members apart goes on whole, as what is apart may be like any of its members; so do the small ones of a
+    # text that has many partners in them.
+    busy = apart.filter(F.col("size") <= SMALL).groupBy("rid").agg(F.sum(F.col("size") - 1).alias("partners")).filter(F.col("partners") > PARTNERS)
+    loose = apart.join(busy.select("rid", F.lit(True).alias("busy")).hint("merge"), "rid", "left").filter((F.col("size") > SMALL) | F.col("busy"))
+    crowded = materialise(loose.select("sketch").distinct(), "crowded").hint("merge")
+    more = _pairs(apart.join(crowded, "sketch", "left_anti"), members.filter(F.col("size") <= SMALL), "sketch")
+    whole = apart.join(crowded, "sketch", "left_semi").select("rid", "n_words", "label").distinct()
+    loose = apart.join(crowded, "sketch", "left_semi").select("rid", F.lit(True).alias("apart")).distinct()
+    whole = whole.join(loose.hint("merge"), "rid", "left").withColumn("apart", F.coalesce("apart", F.lit(False)))
+    big = _with_prefixes(whole, texts, least)
+    rest = _decide(more.unionByName(_prefix_pairs(big, least)), texts, least)
     return decided.unionByName(rest).filter("linked").select("a", "b")
 
 
@@ -176,26 +183,66 @@ def _decide(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return materialise(_aligned(pairs.filter("fits"), texts, least).unionByName(pairs.filter("not fits").select("a", "b", F.lit(False).alias("linked"))), "decided")
 
 
+def _slots(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def _frequencies(texts: DataFrame) -> np.ndarray:
+    """How many tokens of the texts fall to each slot; at most 2 ** SLOT_BITS rows are collected."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(1 << SLOT_BITS, np.int64)
+        for batch in batches:
+            tokens = [labelled_kmers(t.split(), 1) for t in as_bytes(batch.column(0))]
+            n += np.bincount(_slots(np.concatenate([np.zeros(0, np.uint64), *tokens])), minlength=len(n))
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], ["slot", "n"])
+
+    got = texts.select("text").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << SLOT_BITS, np.int64)
+    out[got.column("slot").to_numpy()] = got.column("n").to_numpy()
+    return out
+
+
 def _with_prefixes(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """members (rid, n_words, label) with each token of the text's prefix.
+    """members (rid, n_words, label, apart) with each token of the text's prefix, and how many of its tokens there are from it on.
 
-    Tokens are (word, how often it came before), longest words first, as these are mostly the rare ones, and the prefix of n of
-    them has n - ceil(least * n) + 1.  Texts with edit similarity `least` have that share of the longer one's tokens in common, so
+    Tokens are (word, how often it came before), those in the rarest slots first, and the prefix of n of them has
+    n - ceil(least * n) + 1.  Texts with edit similarity `least` have that share of the longer one's tokens in common, so
     under any order that all texts share they have a token of their prefixes in common.
     """
-    wanted = members.join(texts.hint("merge"), "rid").select("rid", "n_words", "label", "text")
+    wanted = materialise(members.join(texts.hint("merge"), "rid").select("rid", "n_words", "label", "apart", "text"), "wanted")
+    shared = members.sparkSession.sparkContext.broadcast(_frequencies(wanted))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = shared.value
         for batch in batches:
-            for rid, n, label, text in zip(*(c.to_pylist() for c in batch.columns[:3]), as_bytes(batch.column(3)), strict=True):
-                words = text.split()
-                made = labelled_kmers(words, 1)
-                by = np.lexsort((made, -np.fromiter(map(len, words), np.int64, len(words))))
-                made = made[by[: len(made) - int(np.ceil(least * len(made) - 1e-9)) + 1]].view(np.int64)
-                same = [pa.array(np.full(len(made), x, np.int64)) for x in (rid, n, label)]
-                yield pa.RecordBatch.from_arrays([*same, pa.array(made)], ["rid", "n_words", "label", "token"])
-
-    return materialise(wanted.mapInArrow(prefixes, "rid long, n_words long, label long, token long"), "prefixes")
+            tokens, left = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            for text in as_bytes(batch.column(4)):
+                made = labelled_kmers(text.split(), 1)
+                n = len(made) - int(np.ceil(least * len(made) - 1e-9)) + 1
+                tokens.append(made[np.lexsort((made, often[_slots(made)]))[:n]])
+                left.append(len(made) - np.arange(n))
+            at = pa.array(np.repeat(np.arange(batch.num_rows), [len(x) for x in left[1:]]))
+            yield pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns[:4]), pa.array(np.concatenate(left)), pa.array(np.concatenate(tokens).view(np.int64))], ["rid", "n_words", "label", "apart", "left", "token"])
+
+    return materialise(wanted.mapInArrow(prefixes, "rid long, n_words long, label long, apart boolean, left long, token long"), "prefixes")
+
+
+def _prefix_pairs(big: DataFrame, least: float) -> DataFrame:
+    """a, b, n_a, n_b for rows of _with_prefixes(), one of them apart, that share a token and have other labels.
+
+    Every word bucket is compared in full, less pairs that can't be alike: by their lengths, or as fewer tokens than
+    they must share are left from the first they share (the position filter).
+    """
+    right = big.select("token", *(F.col(c).alias(f"{c}_") for c in ("rid", "n_words", "label", "apart", "left")))
+    common = F.greatest("n_words", "n_words_") * F.lit(least) - 1e-9
+    fits = (F.least("n_words", "n_words_") >= common) & (F.least("left", "left_") >= common)
+    some = big.filter("apart").alias("s")
+    both = some.join(right.hint("merge"), (F.col("s.token") == right["token"]) & F.expr("label <> label_ and (not apart_ or rid > rid_)") & fits)
+    one, two = F.struct("rid", "n_words"), F.struct(F.col("rid_").alias("rid"), F.col("n_words_").alias("n_words"))
+    both = both.select(F.greatest(one, two).alias("x"), F.least(one, two).alias("y"))
+    return both.select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b"), F.col("x.n_words").alias("n_a"), F.col("y.n_words").alias("n_b"))
 
 
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:

@@ -188,3 +188,28 @@ def test_held_out_accuracy():
         tables.append(ngrams.kneser_ney(code, n).table())
     score = lambda u: np.subtract(*(ngrams.log_probs(t, u, url_filter.FOLD)[0] for t in tables))
     assert (score(good[200:]) > 0).mean() > 0.95 and (score(bad[200:]) < 0).mean() > 0.95
+
+
+def made_words(seed):
+    rng = random.Random(seed)
+    return lambda letters=6: "".join(rng.choices("abcdefgh", k=letters))
+
+
+def linked_classes(spark, texts, sketch=4):
+    """Least row by row, where all texts have one sketch, the same."""
+    rows = spark.createDataFrame([(i, len(t.split()), [sketch]) for i, t in enumerate(texts)], "rid long, n_words long, sketches array<long>")
+    docs = spark.createDataFrame(list(enumerate(texts)), "rid long, text string")
+    label = {r.node: r.label for r in components(near_dedup.links(rows, docs, "text")).collect()}
+    return {i: label.get(i, i) for i in range(len(texts))}
+
+
+def test_pairs_in_a_large_word_bucket(spark):
+    """40 forms with 30 slots, whose longest words are the form's; two and two are alike by their slots."""
+    word = made_words(22)
+    form = [word(12) for _ in range(70)]
+    texts = []
+    for _ in range(20):
+        slots = [word(4) for _ in range(30)]
+        for same in (30, 15):
+            texts.append(" ".join(form + slots[:same] + [word(4) for _ in range(30 - same)]))
+    assert linked_classes(spark, texts) == {i: i - i % 2 for i in range(40)}
