@@ -154,7 +154,7 @@ def links(rows: DataFrame, docs: DataFrame, text_col: str, least: float = SIMILA
     loose = apart.join(busy.select("rid", F.lit(True).alias("busy")).hint("merge"), "rid", "left").filter((F.col("size") > SMALL) | F.col("busy"))
     crowded = materialise(loose.select("sketch").distinct(), "crowded").hint("merge")
     more = _pairs(apart.join(crowded, "sketch", "left_anti"), members.filter(F.col("size") <= SMALL), "sketch")
-    whole = apart.join(crowded, "sketch", "left_semi").select("rid", "n_words", "label").distinct()
+    whole = members.join(crowded, "sketch", "left_semi").select("rid", "n_words", "label").distinct()
     loose = apart.join(crowded, "sketch", "left_semi").select("rid", F.lit(True).alias("apart")).distinct()
     whole = whole.join(loose.hint("merge"), "rid", "left").withColumn("apart", F.coalesce("apart", F.lit(False)))
     big = _with_prefixes(whole, texts, least)

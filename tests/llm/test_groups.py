@@ -203,6 +203,17 @@ def linked_classes(spark, texts, sketch=4):
     return {i: label.get(i, i) for i in range(len(texts))}
 
 
+def test_texts_like_one_member_of_a_large_bucket(spark):
+    """Each of 10 texts is like just one text of a group, which is like the group's others."""
+    word = made_words(21)
+    base = [word() for _ in range(100)]
+    texts = [" ".join([*base[:99], word()]) for _ in range(30)]
+    for _ in range(10):
+        member = [word() for _ in range(14)] + base[14:]
+        texts += [" ".join(member), " ".join(member[:85] + [word() for _ in range(15)])]
+    assert set(linked_classes(spark, texts).values()) == {0}
+
+
 def test_pairs_in_a_large_word_bucket(spark):
     """40 forms with 30 slots, whose longest words are the form's; two and two are alike by their slots."""
     word = made_words(22)
