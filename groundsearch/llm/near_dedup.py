@@ -31,7 +31,7 @@ from groundsearch.llm.common import arrow_batches, materialise, read_table, row_
 from groundsearch.llm.components import components
 from groundsearch.llm.ngrams import as_bytes
 
-K, PICKS, SKETCHES, SIMILARITY = 5, 3, 48, 0.8
+K, PICKS, SKETCHES, SIMILARITY = 5, 2, 96, 0.8
 #: Members of a bucket up to which those apart from the pivot are compared with every member.
 SMALL = 12
 #: Partners in small buckets up to which a text is compared with each of them; with more, its rare words choose among them.

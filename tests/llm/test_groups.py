@@ -224,3 +224,17 @@ def test_pairs_in_a_large_word_bucket(spark):
         for same in (30, 15):
             texts.append(" ".join(form + slots[:same] + [word(4) for _ in range(30 - same)]))
     assert linked_classes(spark, texts) == {i: i - i % 2 for i in range(40)}
+
+
+def test_sketch_recall_at_the_least_similarity():
+    """Texts with scattered substitutions meet in a sketch, at 0.80 as well."""
+    rng = np.random.default_rng(23)
+    for n in (60, 100, 300):
+        met = 0
+        for _ in range(300):
+            words = rng.integers(0, 1 << 40, n)
+            other = words.copy()
+            other[rng.choice(n, n // 5, replace=False)] = rng.integers(0, 1 << 40, n // 5)
+            a, b = (near_dedup.order_sketches(near_dedup.labelled_kmers([str(w).encode() for w in x])) for x in (words, other))
+            met += bool((a == b).any())
+        assert met >= 270, (n, met)
