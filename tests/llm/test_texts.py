@@ -134,6 +134,16 @@ def test_quality_rules(spark):
     assert quality_rules.score_documents(frame(spark, [])).count() == 0
 
 
+def test_bands_part_labelled_junk(spark):
+    """Of labelled documents that pass the base rules, most of the junk is rejected and nearly all of the rest kept."""
+    sf_dir = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    judged = quality_rules.op2_quality_rules(spark, sf_dir).filter("not base_failed").join(labels, "doc_id")
+    n = {(r.quality, r.kept): r["count"] for r in judged.groupBy("quality", "kept").count().collect()}
+    assert n[0, False] > 0.6 * (n[0, False] + n[0, True])
+    assert n.get((1, False), 0) < 0.002 * n[1, True]
+
+
 def slow_kneser_ney(counts):
     """P(symbol | context) by the textbook recursion over dictionaries."""
     tables = {4: Counter(counts)}
