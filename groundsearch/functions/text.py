@@ -37,11 +37,19 @@ def found(c: Column, pattern: str) -> Column:
     return F.nullif(F.regexp_extract(c, pattern, 1), F.lit(""))
 
 
+def words(c: Column) -> Column:
+    """Lower-case ASCII words of two characters or more, stop words among them."""
+    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[a-z0-9]{2,}"), F.lit(0))
+
+
+def is_stop_word(word: Column) -> Column:
+    """A search in a hash set: Spark makes one of so long a list."""
+    return word.isin(*STOP_WORDS)
+
+
 def tokenize(c: Column) -> Column:
-    """Lower-case ASCII words of two characters or more that aren't stop words."""
-    stop = F.array(*map(F.lit, STOP_WORDS))
-    words = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(TOKEN), F.lit(0))
-    return F.filter(words, lambda w: (F.length(w) > 1) & ~F.array_contains(stop, w))
+    """words() that aren't stop words."""
+    return F.filter(words(c), lambda w: ~is_stop_word(w))
 
 
 def is_heading(line: Column) -> Column:

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,22 +39,24 @@ class HashEmbedder:
 
     def __init__(self, dims: int = DIMS):
         self.dims = dims
-        self.places: dict[str, tuple[int, int]] = {}
 
-    def place(self, token: str) -> tuple[int, int]:
-        if token not in self.places:
-            if len(self.places) > 500_000:
-                self.places.clear()
-            digest = hashlib.md5(token.encode()).hexdigest()
-            self.places[token] = int(digest[:8], 16) % self.dims, 1 if int(digest[8], 16) < 8 else -1
-        return self.places[token]
+    def places(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The place and the sign of each token."""
+        digests = np.frombuffer(b"".join(hashlib.md5(t.encode()).digest() for t in tokens), np.uint8).reshape(-1, 16)
+        at = digests[:, :4].copy().view(">u4").ravel().astype(np.int64) % self.dims
+        return at, np.where(digests[:, 4] < 128, 1.0, -1.0)
+
+    def embed_lists(self, lists: pa.ListArray) -> np.ndarray:
+        """A row for each list of tokens (null is empty); each different token is hashed once."""
+        flat = lists.flatten().dictionary_encode()
+        at, sign = self.places(flat.dictionary.to_pylist())
+        token = flat.indices.to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        v = np.bincount(row * self.dims + at[token], sign[token], len(lists) * self.dims).reshape(-1, self.dims)
+        return (v / np.maximum(np.sqrt((v * v).sum(1, keepdims=True)), 1e-300)).astype(np.float32)
 
     def embed(self, tokens: list[str]) -> np.ndarray:
-        if not len(tokens):
-            return np.zeros(self.dims, np.float32)
-        at, sign = zip(*map(self.place, tokens), strict=True)
-        v = np.bincount(at, sign, self.dims)
-        return (v / max(np.sqrt((v * v).sum()), 1e-300)).astype(np.float32)
+        return self.embed_lists(pa.array([list(tokens)], pa.list_(pa.string())))[0]
 
 
 #: An embedder gives each of a batch's token lists a vector; it is made once in each worker.
@@ -62,7 +65,7 @@ Provider = Callable[[], Callable[[list[list[str]]], list[np.ndarray]]]
 
 def hash_provider(dims: int = DIMS) -> Callable[[list[list[str]]], list[np.ndarray]]:
     embedder = HashEmbedder(dims)
-    return lambda batch: [embedder.embed(t) for t in batch]
+    return lambda batch: list(embedder.embed_lists(pa.array(batch, pa.list_(pa.string()))))
 
 
 def reordered(response: Column) -> Column:
@@ -76,6 +79,8 @@ def retried(call: Callable, attempts: int = 3, wait: float = 1.0, sleep: Callabl
     for n in range(1, attempts + 1):
         try:
             return call()
+        except FileNotFoundError:
+            raise
         except (ConnectionError, TimeoutError, OSError):
             if n == attempts:
                 raise
@@ -103,6 +108,18 @@ def embed(tokens: Column, provider: Provider = hash_provider, batch: int = 64) -
     if session := SparkSession.getActiveSession():
         ship_package(session)
 
+    if provider is hash_provider:
+
+        @F.arrow_udf("array<float>")
+        def hashed(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            embedder = HashEmbedder()
+            for part in parts:
+                found = [embedder.embed_lists(part.slice(at, 1024)).ravel() for at in range(0, len(part), 1024)]
+                ends = np.arange(0, (len(part) + 1) * DIMS, DIMS, dtype=np.int32)
+                yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.float32), *found])))
+
+        return hashed(tokens)
+
     @F.pandas_udf("array<float>")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = provider()

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundsearch.functions import text as T
+from groundsearch.shared import shared_dir
 
 MAX_CHARS = 900
 CHUNK = "struct<section:string,paragraph:string,heading:string,page:int,text:string>"
@@ -84,11 +85,18 @@ def chunk_documents(df: DataFrame, text_col: str = "text", max_chars: int = MAX_
 def with_ids(chunks: DataFrame, spec_col: str, order: list[str]) -> DataFrame:
     """Chunks with ordinal, their place from 0 in the order of the documents (order) and of pos, and id, `spec-ordinal`.
 
-    Only the chunk counts of documents are summed in one window; chunks stay where they are.
+    Documents' chunk counts are sorted by range and checkpointed, which fixes who is in which partition; they are summed within
+    partitions, and only the partitions' totals in one window.  Chunks stay where they are.
     """
-    counts = chunks.groupBy(*order).agg(F.count(F.lit(1)).alias("n"))
-    before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    shift = counts.select(*order, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
+    shared_dir(chunks.sparkSession)
+    counts = chunks.groupBy(*order).agg(F.count(F.lit(1)).alias("n")).orderBy(*order)
+    counts = counts.withColumn("at", F.monotonically_increasing_id()).withColumn("part", F.shiftright("at", 33)).checkpoint()
+    totals = counts.groupBy("part").agg(F.sum("n").alias("of_part"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    totals = totals.select("part", F.coalesce(F.sum("of_part").over(before), F.lit(0)).alias("of_parts"))
+    inside = Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    counts = counts.withColumn("inside", F.sum("n").over(inside) - F.col("n"))
+    shift = counts.join(totals, "part").select(*order, (F.col("of_parts") + F.col("inside")).alias("shift"))
     ordinal = (F.col("shift") + F.col("pos")).cast("long")
     placed = chunks.join(shift, order).withColumn("ordinal", ordinal).drop("shift")
     return placed.withColumn("id", F.concat(F.col(spec_col), F.lit("-"), F.col("ordinal").cast("string")))

@@ -2,7 +2,7 @@
 
 An index is four tables: term frequencies, document frequencies, document lengths and one row of corpus
 statistics.  A batch of questions is one job.  Scoring without a stored index reads the documents once and
-shuffles only the postings of the questions' terms.
+shuffles only the postings of the questions' terms and one row for each document.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from groundsearch.functions.text import tokenize
+from groundsearch.functions.text import is_stop_word, tokenize, words
 
 K1, B = 1.2, 0.75
 TOP = 20
@@ -25,8 +25,12 @@ def with_tokens(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def term_freq(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
-    """id, term, tf."""
-    terms = with_tokens(docs, text_col).select(id_col, F.explode("tokens").alias("term"))
+    """id, term, tf.
+
+    The outer explode keeps Spark from asking for the array's size below, which would find all words twice; stop words go
+    after it, in generated code.
+    """
+    terms = docs.select(id_col, F.explode_outer(words(F.col(text_col))).alias("term")).filter(F.col("term").isNotNull() & ~is_stop_word(F.col("term")))
     return terms.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -79,6 +83,10 @@ class KeywordIndex:
         wanted = terms.select("term").distinct()
         return _bm25(self.tf.join(wanted, "term"), self.df, self.stats, terms)
 
+    def topk(self, terms: DataFrame, k: int = TOP) -> DataFrame:
+        """query_id, id, bm25, sparse_rank."""
+        return top_k(self.scores(terms).filter("bm25 > 0"), "bm25", k, "sparse_rank")
+
 
 def _bm25(postings: DataFrame, df: DataFrame, stats: DataFrame, terms: DataFrame) -> DataFrame:
     rows = terms.join(df, "term").join(postings, "term").crossJoin(F.broadcast(stats))  # stats is one row
@@ -88,12 +96,21 @@ def _bm25(postings: DataFrame, df: DataFrame, stats: DataFrame, terms: DataFrame
 
 
 def bm25_scores(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", query_id: str = "item_id", query_text: str = "text") -> DataFrame:
-    """query_id, id, bm25 without a stored index: one scan for the postings of the questions' terms, one for lengths."""
+    """query_id, id, bm25 without a stored index, in one scan of docs.
+
+    Each document has a row for each of the questions' terms in it and one with an empty term, which carries its length.
+    Document frequencies and corpus statistics are sums over these rows that use the same columns as the scores do, so
+    the plan has one exchange of them, which is read three times.
+    """
     terms = query_terms(queries, query_id, query_text)
-    rows = with_tokens(docs, text_col).select(F.col(id_col).alias("id"), "tokens", F.size("tokens").cast("long").alias("len"))
-    wanted = terms.select("term").distinct()
-    postings = rows.select("id", "len", F.explode("tokens").alias("term")).join(wanted, "term", "left_semi").groupBy("id", "term", "len").agg(F.count(F.lit(1)).alias("tf"))
-    return _bm25(postings, doc_freq(postings), corpus_stats(rows), terms)
+    wanted = terms.select("term").union(queries.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
+    rows = with_tokens(docs, text_col).select(F.col(id_col).alias("id"), F.concat("tokens", F.array(F.lit(""))).alias("tokens"), F.size("tokens").cast("long").alias("len"))
+    rows = rows.select("id", "len", F.explode_outer("tokens").alias("term")).filter("term is not null").join(wanted, "term", "left_semi")
+    postings = rows.groupBy("id", "term", "len").agg(F.count(F.lit(1)).alias("tf"))
+    of_document = F.when(F.col("term") == "", F.col("tf"))
+    stats = postings.agg(F.coalesce(F.sum(of_document), F.lit(0)).alias("n_docs"), (F.sum(of_document * F.col("len")) / F.sum(of_document)).alias("avg_len"))
+    frequencies = postings.groupBy("term").agg(F.count(F.when(F.col("tf") > 0, F.col("id"))).alias("df"))
+    return _bm25(postings, frequencies, stats, terms)
 
 
 def top_k(scores: DataFrame, score: str, k: int = TOP, rank: str = "rank") -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from groundsearch.functions import vectors
 from groundsearch.functions.text import tokenize
 from groundsearch.operators.dense import dense_topk
-from groundsearch.operators.keyword import TIE_DIGITS, bm25_topk
+from groundsearch.operators.keyword import TIE_DIGITS, KeywordIndex, bm25_topk, query_terms
 
 CITATION = ("spec", "version", "source", "section", "paragraph", "heading", "page")
 
@@ -26,6 +26,8 @@ class Options:
     threshold: float = 0.35
     keyword_weight: float = 0.3
     candidates: int = 20
+    #: The most candidates that a question may ask for; more is an error.
+    most_candidates: int = 100
     #: "bare": a hit that only keywords found has no text, and so is never verified.  "hydrate": it has its own.
     sparse_only: str = "bare"
 
@@ -35,7 +37,11 @@ class Options:
 
     def params(self, queries: DataFrame) -> DataFrame:
         """query_id and the four parameters of each question."""
-        return queries.select("query_id", *(self.column(queries, n).alias(n) for n in ("top_k", "threshold", "keyword_weight", "candidates")))
+        rows = queries.select("query_id", *(self.column(queries, n).alias(n) for n in ("top_k", "threshold", "keyword_weight", "candidates")))
+        if "candidates" not in queries.columns:
+            return rows
+        message = F.concat(F.lit(f"at most {self.most_candidates} candidates, asked for "), F.col("candidates").cast("string"))
+        return rows.withColumn("candidates", F.when(F.col("candidates") <= self.most_candidates, F.col("candidates")).otherwise(F.raise_error(message).cast("int")))
 
 
 def fusion_outer(dense: DataFrame, sparse: DataFrame) -> DataFrame:
@@ -99,17 +105,20 @@ def discarded_counts(guarded: DataFrame, queries: DataFrame) -> DataFrame:
     return queries.select("query_id").join(per, "query_id", "left").select("query_id", n.alias("n_candidates"), r.alias("n_results"), (n - r).alias("discarded"))
 
 
-def hybrid_search(chunks: DataFrame, queries: DataFrame, options: Options = Options(), provider: vectors.Provider = vectors.hash_provider) -> DataFrame:
+def hybrid_search(chunks: DataFrame, queries: DataFrame, options: Options = Options(), provider: vectors.Provider = vectors.hash_provider, index: KeywordIndex | None = None) -> DataFrame:
     """All verified candidates of each question, as threshold_guard() gives them.
 
-    chunks: id long, text, vector and columns of CITATION.  queries: query_id long, query, and parameters where a question has its own.
+    chunks: id long, text, vector and columns of CITATION.  With a stored index of them no text is read but the candidates'.  queries: query_id long, query, and parameters where a question has its own.
     """
     asked = queries.withColumn("vector", vectors.embed(tokenize(F.col("query")), provider))
     params = options.params(queries)
-    # The lists are as long as the greatest number of candidates that any question asks for, and are cut to its own.
-    most = options.candidates if "candidates" not in queries.columns else params.agg(F.max("candidates")).first()[0] or options.candidates
+    # Where questions have their own numbers of candidates, the lists are as long as any may ask for, and are cut to these.
+    most = options.most_candidates if "candidates" in queries.columns else options.candidates
     dense = dense_topk(chunks, asked, most)
-    sparse = bm25_topk(chunks, queries, most, id_col="id", query_id="query_id", query_text="query")
+    if index is None:
+        sparse = bm25_topk(chunks, queries, most, id_col="id", query_id="query_id", query_text="query")
+    else:
+        sparse = index.topk(query_terms(queries, "query_id", "query"), most)
     own = params.select("query_id", "candidates", "keyword_weight")
     if "candidates" in queries.columns:
         dense = dense.join(own.select("query_id", "candidates"), "query_id").filter("dense_rank <= candidates").drop("candidates")
@@ -120,10 +129,16 @@ def hybrid_search(chunks: DataFrame, queries: DataFrame, options: Options = Opti
 
 
 def search_response(guarded: DataFrame, queries: DataFrame, options: Options = Options()) -> DataFrame:
-    """One row per question: query_id, query, results (citations in rank order), discarded, candidates, top_k, threshold."""
+    """One row per question: query_id, query, results (citations in rank order), discarded, candidates, top_k, threshold.
+
+    Results and counts come from one aggregation, so the search is planned once.
+    """
     fields = [c for c in ("id", "text", *CITATION, "score", "dense_sim", "bm25") if c in guarded.columns]
-    results = guarded.filter("returned").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", *fields))).alias("results"))
-    counts = discarded_counts(guarded, queries)
-    empty = F.array().cast(results.schema["results"].dataType)
-    out = queries.select("query_id", "query").join(results, "query_id", "left").join(counts, "query_id").join(options.params(queries), "query_id")
-    return out.select("query_id", "query", F.coalesce("results", empty).alias("results"), "discarded", F.col("n_candidates").alias("candidates"), "top_k", "threshold")
+    per = guarded.groupBy("query_id").agg(
+        F.array_sort(F.collect_list(F.when(F.col("returned"), F.struct("rank", *fields)))).alias("results"),
+        F.count(F.lit(1)).alias("n"), F.count_if("returned").alias("r"),
+    )
+    empty = F.array().cast(per.schema["results"].dataType)
+    n, r = F.coalesce("n", F.lit(0)), F.coalesce("r", F.lit(0))
+    out = queries.select("query_id", "query").join(per, "query_id", "left").join(options.params(queries), "query_id")
+    return out.select("query_id", "query", F.coalesce("results", empty).alias("results"), (n - r).alias("discarded"), n.alias("candidates"), "top_k", "threshold")

@@ -16,31 +16,37 @@ SCHEMA = T.StructType([
 
 
 class VectorStore:
-    """A table under root.  Each replacement is a new version folder, and a small file names the current one, so readers never see half a table."""
+    """A table under root.  Each replacement is a new version folder, current once it is complete, so readers never see half a table.
 
-    def __init__(self, spark: SparkSession, root: str, schema: T.StructType = SCHEMA):
-        self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
+    The `keep` last versions stay, so that who reads an older one can go on; replace() sweeps those before them.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, schema: T.StructType = SCHEMA, keep: int = 2):
+        self.spark, self.root, self.schema, self.keep = spark, root.rstrip("/"), schema, keep
         self._fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
 
     def _fs(self):
         path = self._fs_path(self.root)
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
+    def versions(self) -> list[str]:
+        """Complete versions, the current one last."""
+        found = self._fs().globStatus(self._fs_path(f"{self.root}/v*/_SUCCESS"))
+        return sorted(str(v.getPath().getParent().getName()) for v in found or [])
+
     def _current(self) -> str | None:
-        versions = self._fs().globStatus(self._fs_path(f"{self.root}/v*/_SUCCESS"))
-        names = sorted(str(v.getPath().getParent().getName()) for v in versions or [])
-        return names[-1] if names else None
+        return (self.versions() or [None])[-1]
 
     def exists(self) -> bool:
         return self._current() is not None
 
     def replace(self, rows: DataFrame) -> None:
-        """Write rows as the next version; older ones go after it is complete."""
+        """Write rows as the next version."""
         last = self._current()
         number = int(last[1:].split("-")[0]) + 1 if last else 1
         rows.select(*self.schema.fieldNames()).write.parquet(f"{self.root}/v{number:08d}-{uuid.uuid4().hex[:8]}")
-        if last:
-            self._fs().delete(self._fs_path(f"{self.root}/{last}"), True)
+        for old in self.versions()[: -self.keep]:
+            self._fs().delete(self._fs_path(f"{self.root}/{old}"), True)
 
     def scan(self, *columns: str) -> DataFrame:
         """All rows; only the named columns are read."""

@@ -47,6 +47,21 @@ def test_top_k_is_limited_before_the_shuffle(spark):
     assert "WindowGroupLimit" in plan and "CartesianProduct" not in plan
 
 
+def test_bm25_scans_its_documents_once(spark, sf_dir):
+    """The executed plan has one exchange of postings, which statistics and document frequencies reuse."""
+    docs, asked = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    found = keyword.bm25_topk(docs, asked)
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    assert final.count("sf0.001/documents.parquet") == 1 and "ReusedExchange" in final
+
+
+def test_term_freq_finds_words_once(spark, sf_dir):
+    plan = keyword.term_freq(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+
+
 def test_dense_is_brute_force(spark):
     rng = np.random.default_rng(1)
     v = rng.standard_normal((300, 8)).astype(np.float32)
@@ -103,6 +118,31 @@ def test_search_properties(spark):
     assert answers[2].answer == grounding.FALLBACK and not answers[2].confident and answers[1].confident
 
 
+def test_stored_index_gives_the_same_search(spark, tmp_path):
+    chunks = search_corpus(spark)
+    asked = spark.createDataFrame([(1, "amf registration", 7), (2, "slice key", 12)], "query_id long, query string, candidates int")
+    keyword.KeywordIndex.build(chunks, "id").write(str(tmp_path))
+    index = keyword.KeywordIndex.read(spark, str(tmp_path))
+    rows = [sorted(map(str, retrieval.hybrid_search(chunks, asked, index=i).select("query_id", "id", F.round("bm25", 9), "hybrid_rank", "returned").collect())) for i in (None, index)]
+    assert rows[0] == rows[1]
+    with pytest.raises(Exception, match="at most 10 candidates"):
+        retrieval.hybrid_search(chunks, asked, retrieval.Options(most_candidates=10)).collect()
+
+
+def test_hash_vectors(spark):
+    """A batch of lists against one token at a time."""
+    import hashlib
+
+    lists = [["a", "b", "a"], [], None, ["zz"] * 3, ["b"]]
+    rows = spark.createDataFrame(list(enumerate(lists)), "i int, t array<string>").withColumn("v", vectors.embed(F.col("t"))).orderBy("i").collect()
+    for r, tokens in zip(rows, lists, strict=True):
+        v = np.zeros(vectors.DIMS)
+        for t in tokens or []:
+            d = hashlib.md5(t.encode()).hexdigest()
+            v[int(d[:8], 16) % vectors.DIMS] += 1 if int(d[8], 16) < 8 else -1
+        assert np.allclose(r.v, v / max(np.linalg.norm(v), 1e-300), atol=1e-6)
+
+
 def test_hits_without_a_dense_score_have_no_text_unless_hydrated(spark):
     chunks = search_corpus(spark)
     hits = spark.createDataFrame([(1, 5, None, 1)], "query_id long, id long, dense_rank int, hybrid_rank int")
@@ -202,7 +242,12 @@ def test_store_replaces_whole_tables(spark, tmp_path):
     store.replace(spark.createDataFrame([row, row], store.schema))
     store.replace(spark.createDataFrame([row], store.schema))
     assert store.count() == 1 and store.scan("id", "text").first() == ("s-0", "t")
-    assert len(list((tmp_path / "s").iterdir())) == 1
+    assert len(store.versions()) == 2
+    old = spark.read.schema(store.schema).parquet(f"{store.root}/{store.versions()[0]}")
+    store.replace(spark.createDataFrame([row], store.schema))
+    assert len(store.versions()) == len(list((tmp_path / "s").iterdir())) == 2
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist"):
+        old.collect()  # two versions back
     plan = store.scan("id")._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<id:string>" in plan
 
