@@ -115,3 +115,10 @@ def citation_label(position: Column, spec: Column, section: Column, score: Colum
     """`[i] TS spec §section — sim NN%`."""
     percent = F.round(score * 100).cast("int").cast("string")
     return F.concat(F.lit("["), position.cast("string"), F.lit("] TS "), spec, F.lit(" §"), section, F.lit(" — sim "), percent, F.lit("%"))
+
+
+def citation_summary(results: Column, shown: int = 4) -> Column:
+    """The labels of the first citations of an array, one a line, and `+n more` for the rest."""
+    labels = F.transform(F.slice(results, 1, shown), lambda c, i: citation_label(i + 1, c["spec"], c["section"], F.round(c["score"], 9)))
+    more = F.when(F.size(results) > shown, F.array(F.concat(F.lit("+"), (F.size(results) - shown).cast("string"), F.lit(" more")))).otherwise(F.array().cast("array<string>"))
+    return F.array_join(F.concat(labels, more), "\n")

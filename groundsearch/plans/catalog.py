@@ -5,21 +5,24 @@ Every query runs over its whole tables.  Scores are rounded to six digits on bot
 
 from __future__ import annotations
 
+import io
 import json
-import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from groundsearch.config import Config
+from groundsearch.functions import clients, vectors, versions
 from groundsearch.functions import text as T
-from groundsearch.functions import vectors, versions
 from groundsearch.operators import chunking, dense, grounding, keyword, resolve, retrieval
-from groundsearch.plans import corpora, sql
+from groundsearch.plans import corpora, engine, sql
 from groundsearch.plans.corpora import table
+from groundsearch.shared import shared_dir
 from groundsearch.shipping import ship_package
-from groundsearch.sources import documents
+from groundsearch.sources import archives, documents
 from groundsearch.sources.store import VectorStore
 from groundsearch.streaming import events, questions
 
@@ -202,6 +205,24 @@ def hybrid_params(spark, d):
     return rows.select("query_id", "rank", "id", six("score"), six("hybrid"))
 
 
+def _stored_corpus(spark, d) -> tuple[DataFrame, keyword.KeywordIndex]:
+    """The chunks with their vectors, and their keyword index, as tables: embedded and tokenized once, whatever the number of searches."""
+    rows = corpora.chunks(spark, d)
+    root = f"{shared_dir(spark)}/corpus-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+    store = VectorStore(spark, f"{root}/chunks", rows.schema)
+    store.replace(rows)
+    keyword.KeywordIndex.build(store.scan("id", "text"), "id").write(f"{root}/keywords")
+    return store.scan(), keyword.KeywordIndex.read(spark, f"{root}/keywords")
+
+
+@query
+def stored_search(spark, d):
+    """hybrid_search on stored vectors and a stored keyword index."""
+    chunks, index = _stored_corpus(spark, d)
+    rows = retrieval.hybrid_search(chunks, corpora.questions(spark, d), index=index).filter("returned")
+    return rows.select("query_id", "rank", "id", "spec", "section", "heading", six("score"), six("dense_sim"), six("bm25"), six("hybrid"))
+
+
 # Text and chunks
 
 
@@ -310,6 +331,33 @@ def docx_extract(spark, d):
     return documents.parse_documents(corpora.word_files(table(spark, d, "documents"))).select("doc_id", "text", "error")
 
 
+class Archive:
+    """A fetch function over the listings; one archive is missing and one is broken."""
+
+    def __init__(self, listings: list[tuple[str, str]]):
+        self.listings = listings
+
+    def __call__(self, url: str) -> bytes:
+        for number, html in self.listings:
+            if url.endswith(f"/{number}/"):
+                return html.encode()
+        if not url.endswith(".zip"):
+            raise FileNotFoundError("no listing")
+        if "33501" in url:
+            return b"not a ZIP file"
+        with zipfile.ZipFile(buffer := io.BytesIO(), "w") as z:
+            z.writestr(url.rsplit("/", 1)[-1].replace(".zip", ".docx"), url)
+        return buffer.getvalue()
+
+
+@query
+def download_archives(spark, d):
+    """Every document of the catalog: its latest archive's content, or what went wrong with it alone."""
+    ship_package(spark)
+    rows = archives.download(_catalog(spark).select("number"), Archive(sql.LISTINGS))
+    return rows.select("number", "suffix", "name", F.decode("content", "UTF-8").alias("text"), "status", F.substring_index("error", ":", 1).alias("error"))
+
+
 # Store
 
 
@@ -318,8 +366,7 @@ def _store(spark, d) -> VectorStore:
 
     rows = table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.col("label").alias("page"), F.col("embedding").alias("vector"))
     schema = types.StructType([rows.schema[c] for c in ("id", "page", "vector")])
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    store = VectorStore(spark, f"{folder}/store-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}", schema)
+    store = VectorStore(spark, f"{shared_dir(spark)}/store-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}", schema)
     store.replace(rows.limit(1))
     store.replace(rows)
     return store
@@ -416,6 +463,49 @@ def citation_label(spark, d):
     return rows.select("query_id", "rank", grounding.citation_label(F.col("rank"), F.col("spec"), F.col("section"), F.round("score", 9)).alias("label"))
 
 
+@query
+def citation_summary(spark, d):
+    return _responses(spark, d).select("query_id", grounding.citation_summary(F.col("results")).alias("summary"))
+
+
+@query
+def model_completion(spark, d):
+    """Answers of a model server that repeats its settings and the length of the question."""
+    ship_package(spark)
+    generator = clients.chat_generator(Config(), Echo())
+    asked = corpora.questions(spark, d).withColumn("messages", grounding.build_messages(F.lit(""), F.col("query")))
+    return asked.select("query_id", grounding.generate(F.col("messages"), generator).alias("answer"))
+
+
+class Echo:
+    """A model server's stand-in."""
+
+    def __call__(self, body: dict) -> dict:
+        said = f"{body['model']} {body['temperature']} {body['max_tokens']} {len(body['messages'])} {len(body['messages'][1]['content'])}"
+        return {"choices": [{"message": {"role": "assistant", "content": said}}]}
+
+
+# Service
+
+
+@query
+def health(spark, d):
+    return spark.createDataFrame([(engine.health()["status"],)], "status string")
+
+
+@query
+def config_values(spark, d):
+    """The settings of an environment with blanks, bad numbers and alternative names in it."""
+    config = Config.from_env(sql.ENVIRONMENT)
+    return spark.createDataFrame([(n, str(getattr(config, n))) for n in sql.SETTINGS], "name string, value string")
+
+
+@query
+def store_exists(spark, d):
+    there, none = _store(spark, d), VectorStore(spark, f"{shared_dir(spark)}/none-{uuid.uuid4().hex}")
+    return spark.createDataFrame([(there.exists(), none.exists(), none.count())], "there boolean, none boolean, n_none long")
+
+
 # Streams
 
 
@@ -447,7 +537,7 @@ def sse_decode(spark, d):
 def stream_retrieval(spark, d):
     """Questions as a file stream, answered until the stream's end."""
     ship_package(spark)
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/questions-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/questions-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
     asked = table(spark, d, "benchmark")
     asked.repartition(3).write.parquet(f"{folder}/in")
     docs = table(spark, d, "documents")
@@ -456,3 +546,28 @@ def stream_retrieval(spark, d):
     )
     stream.awaitTermination()
     return spark.read.parquet(f"{folder}/out").select("query_id", "id", six("bm25"), "sparse_rank")
+
+
+@query
+def stream_answers(spark, d):
+    """Questions as a file stream, each micro-batch answered by hybrid search on stored vectors and a stored keyword index."""
+    chunks, index = _stored_corpus(spark, d)
+    ship_package(spark)
+    folder = f"{shared_dir(spark)}/asked-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+    corpora.questions(spark, d).repartition(3).write.parquet(f"{folder}/in")
+
+    def answer(batch: DataFrame) -> DataFrame:
+        return grounding.answers(retrieval.search_response(retrieval.hybrid_search(chunks, batch, index=index), batch))
+
+    stream = questions.answer_stream(spark, f"{folder}/in", "query_id long, query string", answer, f"{folder}/out", f"{folder}/state", available_now=True)
+    stream.awaitTermination()
+    ids = F.array_join(F.transform("citations", lambda c: c["id"].cast("string")), ",")
+    return spark.read.parquet(f"{folder}/out").select("query_id", "answer", ids.alias("citations"), "discarded", "confident")
+
+
+@query
+def events_decode(spark, d):
+    """The application's own frames of each turn, joined to one stream and decoded, with a comment before them."""
+    frames = events.encode(corpora.streamed_turns(spark, d)).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("seq", "frame"))).alias("frames"))
+    raw = F.concat(F.lit(": ping\n\ndata: {}\n"), F.array_join("frames.frame", ""))
+    return events.decode_events(frames.select("query_id", raw.alias("raw")))

@@ -17,6 +17,14 @@ RESPONSES = [
     (1, '{"data":[{"index":2,"embedding":[0.5,1.0]},{"index":0,"embedding":[1.5,-2.0]},{"index":1,"embedding":[0.25,0.0]}]}'),
     (2, '{"data":[{"index":0,"embedding":[3.0]}]}'),
 ]
+ENVIRONMENT = {
+    "PORT": " 8080 ", "HOST": " ", "LLM_PROVIDER": "OpenAI", "GEMINI_API_KEY": "k", "LLM_BASE_URL": "http://h/v1//", "LLM_TEMPERATURE": "0", "LLM_MAX_TOKENS": "-5",
+    "EMBED_DIMS": "3072", "RETRIEVAL_TOP_K": "x", "RETRIEVAL_THRESHOLD": "", "RETRIEVAL_KEYWORD_WEIGHT": "0.5", "EMBEDDING_PROVIDER": "API",
+}
+SETTINGS = {
+    "port": "8080", "host": "0.0.0.0", "llm_provider": "openai", "llm_api_key": "k", "llm_base_url": "http://h/v1", "llm_temperature": "0.0", "llm_max_tokens": "1024",
+    "embedding_dims": "3072", "top_k": "6", "threshold": "0.0", "keyword_weight": "0.5", "embedding_provider": "api", "fusion_candidates": "20",
+}
 
 
 def q(s: str) -> str:
@@ -285,3 +293,21 @@ QUERIES: dict[str, str] = {
 QUERIES["zip_member_pick"] = """SELECT doc_id, CASE WHEN doc_id % 7 <> 0 THEN doc_id || CASE WHEN doc_id % 2 = 1 THEN '.PDF' ELSE '.docx' END END AS name,
   CASE WHEN doc_id % 7 <> 0 THEN text END AS text, CASE WHEN doc_id % 7 = 0 THEN 'no document in the archive' END AS error FROM documents"""
 QUERIES["stream_retrieval"] = QUERIES["bm25_topk"]
+QUERIES["stored_search"] = QUERIES["hybrid_search"]
+QUERIES["stream_answers"] = QUERIES["rag_answers"]
+QUERIES["events_decode"] = QUERIES["sse_encode"].replace("SELECT query_id, seq, type, payload, 'data: ' || payload || chr(10) || chr(10) AS frame FROM e", "SELECT query_id, seq, type, payload FROM e")
+QUERIES["citation_summary"] = f"""{hybrid()} lab AS (
+      SELECT query_id, rank, '[' || rank || '] TS ' || spec || ' §' || section || ' — sim ' || CAST(round(round(score, 9) * 100) AS INT) || '%' AS label FROM grd WHERE returned
+    ), summed AS (
+      SELECT query_id, string_agg(label, chr(10) ORDER BY rank) FILTER (WHERE rank <= 4) || CASE WHEN count(*) > 4 THEN chr(10) || '+' || (count(*) - 4) || ' more' ELSE '' END AS summary FROM lab GROUP BY query_id
+    ) SELECT query_id, coalesce(summary, '') AS summary FROM q0 LEFT JOIN summed USING (query_id)"""
+QUERIES["health"] = "SELECT 'ok' AS status"
+QUERIES["config_values"] = f"SELECT * FROM ({values(list(SETTINGS.items()))}) v(name, value)"
+QUERIES["store_exists"] = "SELECT true AS there, false AS none, CAST(0 AS BIGINT) AS n_none"
+QUERIES["model_completion"] = f"SELECT item_id AS query_id, 'gpt-4o-mini 0.2 1024 2 ' || (length(text) + {len(USER_PROMPT[0] + USER_PROMPT[1])}) AS answer FROM benchmark"
+QUERIES["download_archives"] = f"""WITH {CATALOG}, {FILES}, b AS (SELECT * FROM ({BEST}) WHERE place = 1)
+  SELECT number, suffix, CASE WHEN number = '23.501' THEN '23501-' || suffix || '.docx' END AS name,
+         CASE WHEN number = '23.501' THEN '{ARCHIVE_ROOT}/23_series/23.501/23501-' || suffix || '.zip' END AS text,
+         CASE WHEN number = '23.501' THEN 'saved' ELSE 'failed' END AS status,
+         CASE WHEN number = '38.300' THEN 'no archive in the listing' WHEN number = '33.501' THEN 'BadZipFile' WHEN suffix IS NULL THEN 'FileNotFoundError' END AS error
+  FROM c LEFT JOIN b USING (number)"""
