@@ -29,16 +29,36 @@ def banded_distance(a: Sequence[Hashable], b: Sequence[Hashable], most: int) ->
     most = min(most, len(a))
     width = 2 * most + 2
     full, top = (1 << width) - 1, 1 << (width - 1)
-    places: dict[Hashable, int] = {}
-    for i, x in enumerate(a):
-        places[x] = places.get(x, 0) | (1 << i)
+    # A word's places in the band: the first of them, and bits from there on, so that memory follows the band and not the texts.
+    first: dict[Hashable, int] = {}
+    bits: dict[Hashable, int] = {}
+
+    def enter(i: int) -> None:
+        x = a[i]
+        if x in bits:
+            bits[x] |= 1 << (i - first[x])
+        else:
+            first[x], bits[x] = i, 1
+
+    for i in range(most):
+        enter(i)
     up, down = (full >> (width - most - 1)) << (width - most - 1), 0
     score, side = most, top >> 1
     start = most + 1 - width
     stop = 2 * most + len(b) - len(a)
     for j, x in enumerate(b):
-        seen = places.get(x, 0)
-        seen = (seen >> start if start >= 0 else seen << -start) & full
+        if j + most < len(a):
+            enter(j + most)
+        if start > 0:
+            gone = a[start - 1]
+            rest = bits[gone] >> 1
+            if rest:
+                step = (rest & -rest).bit_length()
+                first[gone] += step
+                bits[gone] = rest >> (step - 1)
+            else:
+                del bits[gone]
+        seen = bits[x] << (first[x] - start) if x in bits else 0
         start += 1
         same = ((((seen & up) + up) ^ up) | seen | down) & full
         rise = down | (full & ~(same | up))

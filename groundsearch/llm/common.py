@@ -8,6 +8,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from groundsearch.shared import shared_dir
 from groundsearch.shipping import ship_package
 
 #: ASCII white space that ends a word: space and U+0009 to U+000D.
@@ -22,18 +23,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one of our own where that is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = f"/tmp/checkpoints/{uuid.uuid4().hex}"
-        spark.sparkContext.setCheckpointDir(folder)
-        folder = spark.sparkContext.getCheckpointDir()
-    return folder
-
-
 def materialise(df: DataFrame, what: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back.
 
@@ -94,3 +83,34 @@ def row_ids(docs: DataFrame, name: str = "rid") -> DataFrame:
     if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
         spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
     return docs.withColumn(name, F.monotonically_increasing_id())
+
+
+#: Plans that give their rows in the same partitions and order each time.
+_STABLE = {"Project", "Filter", "LogicalRelation", "LogicalRDD", "LocalRelation", "SubqueryAlias", "View"}
+
+
+def fixed(docs: DataFrame, what: str = "input") -> DataFrame:
+    """docs, written out unless its plan is a plain scan: operators that read it twice join by row_ids()."""
+    plan = docs._jdf.queryExecution().analyzed()
+
+    def stable(node) -> bool:
+        children = node.children()
+        return node.nodeName() in _STABLE and all(stable(children.apply(i)) for i in range(children.size()))
+
+    return docs if plan.deterministic() and stable(plan) else materialise(docs, what)
+
+
+#: Row ids that may be broadcast: 16 MB.
+BROADCAST_IDS = 1_000_000
+
+
+def without(docs: DataFrame, gone: DataFrame, name: str) -> DataFrame:
+    """docs less the rows whose id is in gone, a table of materialise().  A short list is broadcast, so texts stay where they are; a longer one is merged."""
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone.hint("merge"), name, "left_anti")
+
+
+def free_name(docs: DataFrame, name: str = "rid") -> str:
+    """A column name that docs doesn't have."""
+    while name in docs.columns:
+        name += "_"
+    return name

@@ -5,8 +5,9 @@ picks the `PICKS` labelled k-mers with the least values, and their hash in text
 Texts that share a sketch are candidates, and those whose word edit similarity is `SIMILARITY` or more
 are linked; linked texts are one class.
 
-Exact copies are folded into one row for each text first.  A bucket's members are compared with a pivot, so
-a bucket of n texts gives n - 1 pairs.  Links so far make components, and a member that is in
+Exact copies are folded into one row for each text first.  A bucket's members are compared with a pivot, the one
+that meets most texts over all its buckets, so a bucket of n texts gives n - 1 pairs, and buckets of one group give
+mostly the same ones.  Links so far make components, and a member that is in
 another one than its bucket's pivot goes on: in a small bucket it is compared with all members of other
 components.  A large one, which a common passage or a group of copies makes, goes on whole: it is dealt anew by the
 rarest words of its texts (the prefix filter, which loses no pair), and in each of these word buckets the
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundsearch.llm.alignment import similar
-from groundsearch.llm.common import arrow_batches, materialise, read_table, row_ids
+from groundsearch.llm.common import arrow_batches, fixed, free_name, materialise, read_table, row_ids, without
 from groundsearch.llm.components import components
 from groundsearch.llm.ngrams import as_bytes
 
@@ -38,8 +39,12 @@ SMALL = 12
 PARTNERS = 16
 #: Hash bits by which the words of large buckets are counted, to take rare ones first.
 SLOT_BITS = 20
+#: Hashes of words that a Python worker keeps, some 150 bytes each.
+KNOWN_WORDS = 1 << 17
 _RANDOM = np.random.default_rng(11)
-_ODD = _RANDOM.integers(0, 1 << 63, 4 * SKETCHES + K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ODD = _RANDOM.integers(0, 1 << 63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: The hash functions: a labelled k-mer's upper 32 bits, multiplied; numpy has vector instructions for these.
+_HASHES = _RANDOM.integers(0, 1 << 31, 4 * SKETCHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -53,7 +58,7 @@ class _WordHashes(dict):
 
     def __missing__(self, word: bytes) -> int:
         found = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 1_000_000 and len(word) < 64:
+        if len(self) < KNOWN_WORDS and len(word) < 64:
             self[word] = found
         return found
 
@@ -61,37 +66,51 @@ class _WordHashes(dict):
 _hashes = _WordHashes()
 
 
+def occurrences(grams: np.ndarray) -> np.ndarray:
+    """How often each of grams came before."""
+    by = np.argsort(grams, kind="stable")
+    new = np.concatenate([[True], grams[by][1:] != grams[by][:-1]])
+    times = np.zeros(len(grams), np.int64)
+    if not new.all():
+        at = np.arange(len(grams))
+        times[by] = at - np.maximum.accumulate(np.where(new, at, 0))
+    return times
+
+
 def labelled_kmers(words: list[bytes], k: int = K) -> np.ndarray:
     """Hashes of (k-mer, how often it came before) in text order; a text of fewer than k words is one k-mer."""
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    h = word_hashes(words)
     if len(h) < k:
         return mix((h * _ODD[-len(h) :]).sum(keepdims=True) + np.uint64(len(h))) if len(h) else h
     n = len(h) - k + 1
     grams = np.zeros(n, np.uint64)
     for i in range(k):
         grams += h[i : i + n] * _ODD[-1 - i]
-    grams = mix(grams)
-    by = np.argsort(grams, kind="stable")
-    new = np.concatenate([[True], grams[by][1:] != grams[by][:-1]])
-    if not new.all():
-        at = np.arange(n)
-        times = np.empty(n, np.uint64)
-        times[by] = at - np.maximum.accumulate(np.where(new, at, 0))
-        grams = np.where(times > 0, mix(grams + times * np.uint64(0x9E3779B97F4A7C15)), grams)
-    return grams
+    return labelled(mix(grams))
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+
+
+def labelled(grams: np.ndarray, times: np.ndarray | None = None) -> np.ndarray:
+    """One hash of each gram and how often it came before; the first keeps its own."""
+    times = (occurrences(grams) if times is None else times).astype(np.uint64)
+    return np.where(times > 0, mix(grams + times * np.uint64(0x9E3779B97F4A7C15)), grams)
 
 
 def order_sketches(grams: np.ndarray, sketches: int = SKETCHES, picks: int = PICKS) -> np.ndarray:
     """The order MinHash sketches of labelled k-mers; a text with fewer than `picks` uses all of them."""
     if not len(grams):
         return np.zeros(0, np.uint64)
-    out, step = np.arange(sketches, dtype=np.uint64), max(1, (1 << 20) // len(grams))
+    upper = (grams >> np.uint64(32)).astype(np.uint32)
+    out, step = np.arange(sketches, dtype=np.uint64), max(1, (1 << 18) // len(grams))
     for at in range(0, sketches, step):
-        values = grams[None, :] * _ODD[at : min(at + step, sketches), None]
+        values = upper[None, :] * _HASHES[at : min(at + step, sketches), None]
         row, best = np.arange(len(values)), []
         for _ in range(min(picks, len(grams))):
             best.append(values.argmin(1))
-            values[row, best[-1]] = np.uint64(0xFFFFFFFFFFFFFFFF)
+            values[row, best[-1]] = np.uint32(0xFFFFFFFF)
         for place in np.sort(np.stack(best), 0):  # in text order
             out[at : at + len(values)] = mix(out[at : at + len(values)] * np.uint64(0xD6E8FEB86659FD93) + grams[place])
     return out
@@ -132,8 +151,14 @@ def _aligned(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 def links(rows: DataFrame, docs: DataFrame, text_col: str, least: float = SIMILARITY) -> DataFrame:
     """a, b: verified links between the rows of sketch_rows(), one for each different text; docs has a rid column."""
     members = materialise(rows.select("rid", "n_words", F.explode("sketches").alias("sketch")), "members")
-    buckets = members.groupBy("sketch").agg(_pivot("sketch", "rid", "n_words"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    buckets = members.groupBy("sketch").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = members.join(materialise(buckets, "buckets").hint("merge"), "sketch")
+    members = materialise(members.select("sketch", "rid", "n_words", "size"), "members")
+    # The more members a text meets, the nearer it is to the middle of its group of copies, and the more of them it is like.
+    central = materialise(members.groupBy("rid").agg(F.sum("size").alias("central")), "central")
+    members = materialise(members.join(central.hint("merge"), "rid"), "members")
+    pivots = members.groupBy("sketch").agg(F.max(F.struct("central", "rid", "n_words")).alias("pivot"))
+    members = members.join(materialise(pivots, "pivots").hint("merge"), "sketch")
     members = materialise(members.select("sketch", "rid", "n_words", "pivot", "size"), "members")
     needed = materialise(members.select("rid").distinct(), "needed")
     texts = materialise(docs.select("rid", F.col(text_col).alias("text")).join(needed.hint("merge"), "rid"), "texts")
@@ -162,11 +187,6 @@ def links(rows: DataFrame, docs: DataFrame, text_col: str, least: float = SIMILA
     return decided.unionByName(rest).filter("linked").select("a", "b")
 
 
-def _pivot(key: str, *columns: str):
-    """The member of a bucket by which the others are tested: the least by one of four hashes, which the bucket's key picks."""
-    return F.min(F.struct(F.xxhash64("rid", F.pmod(key, F.lit(4))).alias("order"), *columns)).alias("pivot")
-
-
 def _pairs(some: DataFrame, others: DataFrame, key: str) -> DataFrame:
     """a, b, n_a, n_b with a > b: rows of some and others (rid, n_words, label) with the same key and different labels; buckets are small."""
     one, two = F.struct("rid", "n_words"), F.struct(F.col("rid_").alias("rid"), F.col("n_words_").alias("n_words"))
@@ -193,7 +213,7 @@ def _frequencies(texts: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(1 << SLOT_BITS, np.int64)
         for batch in batches:
-            tokens = [labelled_kmers(t.split(), 1) for t in as_bytes(batch.column(0))]
+            tokens = [labelled(word_hashes(t.split())) for t in as_bytes(batch.column(0))]
             n += np.bincount(_slots(np.concatenate([np.zeros(0, np.uint64), *tokens])), minlength=len(n))
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], ["slot", "n"])
@@ -204,8 +224,28 @@ def _frequencies(texts: DataFrame) -> np.ndarray:
     return out
 
 
+def prefix_words(text: bytes, often: np.ndarray, least: float) -> tuple[np.ndarray, ...]:
+    """(key, low, high, left) of a text's prefix: its tokens are those of _with_prefixes(), gathered by word.
+
+    A word's tokens whose numbers lie between the same powers of two share a key, and low and high are the least and greatest of
+    these numbers; left says how many tokens of the text there are from the first of them on.
+    """
+    h = word_hashes(text.split())
+    times = occurrences(h)
+    tokens = labelled(h, times)
+    n = len(tokens) - int(np.ceil(least * len(tokens) - 1e-9)) + 1 if len(tokens) else 0
+    chosen = np.lexsort((tokens, often[_slots(tokens)]))[:n]
+    number = times[chosen] + 1
+    key = mix(h[chosen] + np.frexp(number.astype(np.float64))[1].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    by = np.argsort(key, kind="stable")
+    start = np.flatnonzero(np.concatenate([[True], key[by][1:] != key[by][:-1]])) if n else np.zeros(0, np.int64)
+    if not len(start):
+        return key, number, number, number
+    return key[by][start], np.minimum.reduceat(number[by], start), np.maximum.reduceat(number[by], start), len(tokens) - by[start]
+
+
 def _with_prefixes(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """members (rid, n_words, label, apart) with each token of the text's prefix, and how many of its tokens there are from it on.
+    """members (rid, n_words, label, apart) with the words of each text's prefix, as prefix_words() gives them.
 
     Tokens are (word, how often it came before), those in the rarest slots first, and the prefix of n of them has
     n - ceil(least * n) + 1.  Texts with edit similarity `least` have that share of the longer one's tokens in common, so
@@ -217,16 +257,14 @@ def _with_prefixes(members: DataFrame, texts: DataFrame, least: float) -> DataFr
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = shared.value
         for batch in batches:
-            tokens, left = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-            for text in as_bytes(batch.column(4)):
-                made = labelled_kmers(text.split(), 1)
-                n = len(made) - int(np.ceil(least * len(made) - 1e-9)) + 1
-                tokens.append(made[np.lexsort((made, often[_slots(made)]))[:n]])
-                left.append(len(made) - np.arange(n))
-            at = pa.array(np.repeat(np.arange(batch.num_rows), [len(x) for x in left[1:]]))
-            yield pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns[:4]), pa.array(np.concatenate(left)), pa.array(np.concatenate(tokens).view(np.int64))], ["rid", "n_words", "label", "apart", "left", "token"])
+            made = [prefix_words(text, often, least) for text in as_bytes(batch.column(4))]
+            at = pa.array(np.repeat(np.arange(batch.num_rows), [len(m[0]) for m in made]))
+            key, low, high, left = (np.concatenate(x) for x in zip(*made, strict=True)) if made else [np.zeros(0, np.int64)] * 4
+            columns = [pa.array(x) for x in (low, high, left, key.view(np.int64))]
+            yield pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns[:4]), *columns], ["rid", "n_words", "label", "apart", "low", "high", "left", "token"])
 
-    return materialise(wanted.mapInArrow(prefixes, "rid long, n_words long, label long, apart boolean, left long, token long"), "prefixes")
+    found = wanted.mapInArrow(prefixes, "rid long, n_words long, label long, apart boolean, low long, high long, left long, token long")
+    return materialise(found, "prefixes")
 
 
 def _prefix_pairs(big: DataFrame, least: float) -> DataFrame:
@@ -235,11 +273,12 @@ def _prefix_pairs(big: DataFrame, least: float) -> DataFrame:
     Every word bucket is compared in full, less pairs that can't be alike: by their lengths, or as fewer tokens than
     they must share are left from the first they share (the position filter).
     """
-    right = big.select("token", *(F.col(c).alias(f"{c}_") for c in ("rid", "n_words", "label", "apart", "left")))
+    right = big.select("token", *(F.col(c).alias(f"{c}_") for c in ("rid", "n_words", "label", "apart", "low", "high", "left")))
     common = F.greatest("n_words", "n_words_") * F.lit(least) - 1e-9
     fits = (F.least("n_words", "n_words_") >= common) & (F.least("left", "left_") >= common)
     some = big.filter("apart").alias("s")
-    both = some.join(right.hint("merge"), (F.col("s.token") == right["token"]) & F.expr("label <> label_ and (not apart_ or rid > rid_)") & fits)
+    meet = F.expr("low <= high_ and low_ <= high and label <> label_ and (not apart_ or rid > rid_)")
+    both = some.join(right.hint("merge"), (F.col("s.token") == right["token"]) & meet & fits)
     one, two = F.struct("rid", "n_words"), F.struct(F.col("rid_").alias("rid"), F.col("n_words_").alias("n_words"))
     both = both.select(F.greatest(one, two).alias("x"), F.least(one, two).alias("y"))
     return both.select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b"), F.col("x.n_words").alias("n_a"), F.col("y.n_words").alias("n_b"))
@@ -250,8 +289,10 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
 
     class_id is the least id of the class (null ids go last, ties by row), and that row is kept.  Null text
     is empty; texts without words are alike only when equal.  Rows that repeat are copies.
-    An empty table gives an empty result.
+    An empty table gives an empty result.  A very long text is compared whole, in memory that grows with the share of its words
+    that may differ.
     """
+    docs = fixed(docs)
     arrow_batches(docs.sparkSession)
     rows = materialise(sketch_rows(docs, id_col, text_col), "sketches")
     texts = materialise(rows.groupBy("digest").agg(F.min("rid").alias("rid")), "texts")
@@ -267,12 +308,11 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """One row of docs for each class, with its columns."""
-    rid = "rid"
-    while rid in docs.columns:
-        rid += "_"
+    """One row of docs for each class, with its columns; nulls, ties, repeated rows and empty tables as in classify()."""
+    docs = fixed(docs)
+    rid = free_name(docs)
     gone = classify(docs, id_col, text_col, least).filter("not kept").select(F.col("rid").alias(rid))
-    return row_ids(docs, rid).join(materialise(gone, "gone").hint("merge"), rid, "left_anti").select(*docs.columns)
+    return without(row_ids(docs, rid), materialise(gone, "gone"), rid).select(*docs.columns)
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
