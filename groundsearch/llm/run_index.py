@@ -23,7 +23,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     key = np.zeros(n, np.uint64)
     for i in range(7):  # 9 bits each: 256 symbols and the end
         key = (key << np.uint64(9)) | padded[i : i + n]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     rank = np.empty(n + 1, np.int64)
     rank[n] = -1
     new = np.concatenate([[True], key[order][1:] != key[order][:-1]])
@@ -35,7 +35,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     while len(left):
         suffixes = order[left]
         a, b = rank[suffixes], rank[np.minimum(suffixes + step, n)]
-        by = np.lexsort((b, a))
+        by = np.argsort((a << 32) | (b + 1))  # both are under 2 ** 31
         suffixes, a, b = suffixes[by], a[by], b[by]
         order[left] = suffixes
         start = np.concatenate([[True], a[1:] != a[:-1]])
@@ -68,11 +68,9 @@ def common_prefixes(text: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarra
 
 @dataclass
 class RunLengthIndex:
-    """run_bytes, run_starts: the runs of the transform.  heads, tails: the suffixes at the first and last place of each run.  matches: the common prefix at the border before each run."""
+    """heads, tails: the suffixes at the first and last place of each run of the transform.  matches: the common prefix at the border before each run."""
 
     text: np.ndarray
-    run_bytes: np.ndarray
-    run_starts: np.ndarray
     heads: np.ndarray
     tails: np.ndarray
     matches: np.ndarray
@@ -86,7 +84,7 @@ class RunLengthIndex:
         heads, tails = order[starts], order[np.concatenate([starts[1:], [len(order)]]) - 1]
         matches = np.zeros(len(starts), np.int64)
         matches[1:] = common_prefixes(text, tails[:-1], heads[1:])
-        return cls(text, before[starts], starts, heads, tails, matches)
+        return cls(text, heads, tails, matches)
 
     def statistics(self) -> np.ndarray:
         """For each place of the joined text, the length of its longest match that starts at any other place and crosses no border."""

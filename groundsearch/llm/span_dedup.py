@@ -5,15 +5,18 @@ equal strings are brought together first.  In every window of `length` bytes the
 bytes with the least hash are its anchors, so equal windows have equal anchors at equal places.  An
 anchor's context is all bytes that a window around it can reach.
 
-1. Anchors that occur once go.  Where the same context occurs twice, all of it is repeated.
-2. What is left are anchors with different contexts, at the borders of repeated passages.  One of each
-   different context goes, by anchor, to a task that joins overlapping ones, builds a run-length index of a bounded
-   number of bytes and streams matching statistics; places with a match of `length` or more start
-   repeated strings.
-3. An anchor with more than `WIDE` different contexts (a passage in very many documents) doesn't fit one index: its
+1. Anchors that occur once go.  Where the same context (by a hash of 128 bits, beside the anchor's) occurs twice, all
+   of it is repeated.
+2. What is left are anchors with different contexts, at the borders of repeated passages and in edited copies.  The
+   windows around an anchor start in a range of places; in each of `CORES` parts of it they have a core in common, and a
+   context none of whose cores another context of its anchor has goes, as no window of it is repeated.
+3. One of each different context left goes, by anchor, to a task that joins overlapping ones, builds a run-length index
+   of a bounded number of bytes and streams matching statistics; places with a match of `length` or more
+   start repeated strings.
+4. An anchor with more than `WIDE` different contexts left (a passage in very many documents) doesn't fit one index: its
    windows are counted by hash with map-side aggregation, many at once where they agree.
 
-Scale: shuffled are anchors (some 1% of text positions), the contexts of step 2, and the texts twice, by
+Scale: shuffled are anchors (some 1% of text positions), the contexts of step 3, and the texts twice, by
 row.  Every join side is a written table or a plain exchange, so hot anchors and contexts can be split.
 """
 
@@ -28,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundsearch.llm.common import arrow_batches, discard, materialise, read_table, row_ids
+from groundsearch.llm.common import arrow_batches, discard, fixed, materialise, read_table, row_ids
 from groundsearch.llm.near_dedup import mix
 from groundsearch.llm.ngrams import as_bytes
 from groundsearch.llm.run_index import RunLengthIndex
@@ -36,6 +39,8 @@ from groundsearch.llm.run_index import RunLengthIndex
 LENGTH, GRAM = 400, 128
 #: Different contexts of one anchor that an index takes, and bytes of one index.
 WIDE, INDEX_BYTES = 500, 2 << 20
+#: Parts of the range of windows around an anchor, each with a core that its windows share; bits kept of a core's hash.
+CORES, CORE_BITS = 3, 21
 #: Gram places worked on at once.
 BLOCK = 1 << 17
 _RANDOM = np.random.default_rng(17)
@@ -107,8 +112,26 @@ def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple
     return long[text], place - (ends - sizes)[text], np.concatenate(found)
 
 
+def core_ranges(length: int, gram: int) -> list[tuple[int, int]]:
+    """(first, last) for each part of the windows around an anchor: how far before it they start at most and at least."""
+    span = length - gram
+    cuts = np.linspace(0, span + 1, min(CORES, span + 1) + 1).astype(int)
+    return [(span - int(a), span - int(b) + 1) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def cores(text: bytes, place: int, length: int, ranges: list[tuple[int, int]]) -> int:
+    """Hashes of the cores of an anchor at place, packed; 0 for a part without a window in the text."""
+    out = 0
+    for i, (first, last) in enumerate(ranges):
+        if max(place - first, 0) <= min(place - last, len(text) - length):
+            core = xxhash.xxh3_64_intdigest(text[place - last : place - first + length])
+            out |= (core % ((1 << CORE_BITS) - 1) + 1) << (CORE_BITS * i)
+    return out
+
+
 def _occurrences(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """anchor, context (hash), rid, place, low, high (the context's bytes) of each anchor of docs (rid, text)."""
+    """anchor, context and more (128 bits of hash), cores, rid, place, low, high (the context's bytes) of each anchor of docs (rid, text)."""
+    ranges, half = core_ranges(length, gram), (1 << 64) - 1
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,11 +139,25 @@ def _occurrences(docs: DataFrame, length: int, gram: int) -> DataFrame:
             text, place, anchor = anchors(texts, length, gram)
             sizes = np.fromiter(map(len, texts), np.int64, len(texts))
             low, high = np.maximum(place + gram - length, 0), np.minimum(place + length, sizes[text])
-            context = np.fromiter((xxhash.xxh3_64_intdigest(texts[t][a:b], p - a) for t, p, a, b in zip(text.tolist(), place.tolist(), low.tolist(), high.tolist(), strict=True)), np.uint64, len(text))
+            where = list(zip(text.tolist(), place.tolist(), low.tolist(), high.tolist(), strict=True))
+            contexts = [xxhash.xxh3_128_intdigest(texts[t][a:b], p - a) for t, p, a, b in where]
+            context, more = (np.fromiter(x, np.uint64, len(where)).view(np.int64) for x in ((c & half for c in contexts), (c >> 64 for c in contexts)))
+            core = np.fromiter((cores(texts[t], p, length, ranges) for t, p, _, _ in where), np.int64, len(where))
             rid = batch.column(0).to_numpy()[text]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor.view(np.int64), context.view(np.int64), rid, place.astype(np.int32), low.astype(np.int32), high.astype(np.int32))], ["anchor", "context", "rid", "place", "low", "high"])
+            columns = (anchor.view(np.int64), context, more, core, rid, place.astype(np.int32), low.astype(np.int32), high.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["anchor", "context", "more", "cores", "rid", "place", "low", "high"])
+
+    return docs.mapInArrow(made, "anchor long, context long, more long, cores long, rid long, place int, low int, high int")
+
 
-    return docs.mapInArrow(made, "anchor long, context long, rid long, place int, low int, high int")
+def _with_partner(contexts: DataFrame) -> DataFrame:
+    """Those of contexts (anchor, cores and more) that have a core which another context of the anchor has."""
+    mask = (1 << CORE_BITS) - 1
+    parts = F.array(*(F.shiftrightunsigned("cores", CORE_BITS * i).bitwiseAND(F.lit(mask)) for i in range(CORES)))
+    each = contexts.select("anchor", "cores", F.posexplode(parts).alias("k", "core")).filter("core > 0")
+    shared = each.groupBy("anchor", "k", "core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor", "k", "core")
+    kept = each.join(materialise(shared, "cores").hint("merge"), ["anchor", "k", "core"]).select("anchor", "cores").distinct()
+    return contexts.join(materialise(kept, "partners").hint("merge"), ["anchor", "cores"])
 
 
 def joined(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -231,16 +268,18 @@ def _windowed(contexts: DataFrame, length: int, gram: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, wide: int = WIDE) -> DataFrame:
     """rid, low, high: intervals whose union is the repeated bytes of docs (rid, text)."""
     found = materialise(_occurrences(docs, length, gram), "occurrences")
-    anchors_ = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), (F.min("context") != F.max("context")).alias("mixed")).filter("n > 1")
+    mixed = (F.min("context") != F.max("context")) | (F.min("more") != F.max("more"))
+    anchors_ = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), mixed.alias("mixed")).filter("n > 1")
     again = found.join(materialise(anchors_.select("anchor", "mixed"), "anchors").hint("merge"), "anchor")
     again = materialise(again, "repeated")
     discard(found)
-    contexts = again.groupBy("anchor", "context", "mixed").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "place", "low", "high")).alias("one"))
+    context = ["anchor", "context", "more"]
+    contexts = again.groupBy(*context, "cores", "mixed").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "place", "low", "high")).alias("one"))
     contexts = materialise(contexts, "contexts")
-    whole = again.join(contexts.filter("n > 1").select("anchor", "context").hint("merge"), ["anchor", "context"])
+    whole = again.join(contexts.filter("n > 1").select(*context).hint("merge"), context)
     spans = whole.select("rid", F.col("low").cast("long").alias("low"), F.col("high").cast("long").alias("high"))
 
-    border = contexts.filter("mixed")
+    border = materialise(_with_partner(contexts.filter("mixed")), "bordering")
     kinds = border.groupBy("anchor").agg((F.count(F.lit(1)) > wide).alias("wide"))
     border = border.join(materialise(kinds, "kinds").hint("merge"), "anchor").select("anchor", "wide", "one.rid", "one.place", "one.low", "one.high")
     per = border.groupBy("rid").agg(F.collect_list(F.struct("anchor", "wide", "place", "low", "high")).alias("parts"))
@@ -257,10 +296,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Null text counts as empty.  Matches are judged on the whole input and never cross documents; they may overlap.
     Rows that repeat are repeats of each other.  An empty table gives an empty result.  The bytes left
-    may end within a character where a repeat does.
+    may end within a character where a repeat does.  A very long text is one row of one task, with its repeats in a list.
     """
     arrow_batches(docs.sparkSession, megabytes=4)
-    rows = row_ids(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
+    rows = row_ids(fixed(docs).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
     spans = repeated_spans(rows.select("rid", "text"), length, gram, wide)
     per = materialise(spans.groupBy("rid").agg(F.collect_set(F.struct("low", "high")).alias("spans")), "spans")
     both = rows.join(per.hint("merge"), "rid", "left").select("id", F.col("text").cast("binary").alias("text"), "spans.low", "spans.high")
