@@ -331,6 +331,11 @@ def docx_extract(spark, d):
     return documents.parse_documents(corpora.word_files(table(spark, d, "documents"))).select("doc_id", "text", "error")
 
 
+@query
+def pdf_extract(spark, d):
+    return documents.parse_documents(corpora.page_files(table(spark, d, "documents"))).select("doc_id", "text", "error")
+
+
 class Archive:
     """A fetch function over the listings; one archive is missing and one is broken."""
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
@@ -106,3 +107,32 @@ def word_files(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), names, pa.array(out, pa.binary())], ["doc_id", "name", "content"])
 
     return docs.select("doc_id", "text").mapInArrow(pack, "doc_id long, name string, content binary")
+
+
+def page_files(docs: DataFrame) -> DataFrame:
+    """A PDF file for each document: each line of its text is a page, shown in two strings; every other file is compressed."""
+    ship_package(docs.sparkSession)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [pdf_file(text or "", bool(i % 2)) for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            names = pa.array([f"{i}.pdf" for i in batch.column(0).to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), names, pa.array(out, pa.binary())], ["doc_id", "name", "content"])
+
+    return docs.select("doc_id", "text").mapInArrow(pack, "doc_id long, name string, content binary")
+
+
+def pdf_file(text: str, packed: bool) -> bytes:
+    """A file of one font whose two-byte codes are UTF-16 units."""
+    lines = text.split("\n")
+    cmap = b"1 beginbfrange\n<0000> <FFFF> <0000>\nendbfrange"
+    objects = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 3: b"<< /Type /Font /ToUnicode 4 0 R >>", 4: b"<< /Length %d >>\nstream\n%s\nendstream" % (len(cmap), cmap)}
+    pages = range(5, 5 + 2 * len(lines), 2)
+    objects[2] = b"<< /Type /Pages /Resources << /Font << /F1 3 0 R >> >> /Kids [%s] >>" % b" ".join(b"%d 0 R" % p for p in pages)
+    for p, line in zip(pages, lines, strict=True):
+        halves = (line[: len(line) // 2], line[len(line) // 2 :])
+        content = b"BT /F1 9 Tf " + b" ".join(b"[<%s> -10 <%s>] TJ" % (x[: len(x) // 2].encode("utf-16-be").hex().encode(), x[len(x) // 2 :].encode("utf-16-be").hex().encode()) for x in halves) + b" ET"
+        coded = zlib.compress(content) if packed else content
+        objects[p] = b"<< /Type /Page /Parent 2 0 R /Contents %d 0 R >>" % (p + 1)
+        objects[p + 1] = b"<< /Length %d %s >>\nstream\n%s\nendstream" % (len(coded), b"/Filter /FlateDecode" if packed else b"", coded)
+    return b"%PDF-1.7\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % x for x in objects.items()) + b"trailer << /Root 1 0 R >>\n%%EOF"

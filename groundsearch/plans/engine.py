@@ -36,7 +36,7 @@ class Engine:
 
     def __init__(
         self, spark: SparkSession, config: Config = Config(), provider: vectors.Provider | None = None, generator: grounding.Generator | None = None,
-        fetch: clients.Fetch | None = None, reader: documents.PdfReader | None = None,
+        fetch: clients.Fetch | None = None, reader: documents.PdfReader = documents.read_pages,
     ):
         self.spark, self.config, self.fetch, self.reader = spark, config, fetch, reader
         self.provider = provider or clients.embedding_provider(config)

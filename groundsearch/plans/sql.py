@@ -311,3 +311,6 @@ QUERIES["download_archives"] = f"""WITH {CATALOG}, {FILES}, b AS (SELECT * FROM
          CASE WHEN number = '23.501' THEN 'saved' ELSE 'failed' END AS status,
          CASE WHEN number = '38.300' THEN 'no archive in the listing' WHEN number = '33.501' THEN 'BadZipFile' WHEN suffix IS NULL THEN 'FileNotFoundError' END AS error
   FROM c LEFT JOIN b USING (number)"""
+# A line is shown in two strings, each of which may hold white space at its ends.
+QUERIES["pdf_extract"] = r"""SELECT doc_id, array_to_string(list_transform(str_split(text, chr(10)), lambda l:
+  trim(regexp_replace(l[:length(l) // 2] || ' ' || l[length(l) // 2 + 1:], '[\t ]+', ' ', 'g'))), chr(12)) AS text, NULL AS error FROM documents"""

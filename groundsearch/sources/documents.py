@@ -18,10 +18,11 @@ from pyspark.sql import functions as F
 from groundsearch.functions import text as T
 from groundsearch.functions.versions import version_of
 from groundsearch.shipping import ship_package
+from groundsearch.sources.pdf import read_pages
 
 BODY = "word/document.xml"
 _PARAGRAPH_END, _PARAGRAPH = "</w:p>", "<w:p"
-#: Text from page strings of a PDF file's bytes; no reader is bundled.
+#: Text from page strings of a PDF file's bytes.
 PdfReader = Callable[[bytes], list[list[str]]]
 
 
@@ -98,22 +99,28 @@ def docx_text(xml: Column, paragraphs: str = "last_tag") -> Column:
 
 
 def pdf_text(content: Column, reader: PdfReader) -> Column:
-    """Pages of a PDF file: each page's strings joined by blanks and collapsed, pages joined by form feeds."""
+    """struct text, error of a PDF file: each page's strings joined by blanks and collapsed, pages joined by form feeds."""
 
-    @F.pandas_udf("string")
-    def read(files: pd.Series) -> pd.Series:
-        return pd.Series(["\f".join(re.sub(r"[\t ]+", " ", " ".join(page)).strip() for page in reader(data)) for data in files])
+    @F.pandas_udf("struct<text:string,error:string>")
+    def read(files: pd.Series) -> pd.DataFrame:
+        rows = []
+        for data in files:
+            try:
+                rows.append(("\f".join(re.sub(r"[\t ]+", " ", " ".join(page)).strip() for page in reader(data)), None))
+            except Exception as e:  # noqa: BLE001  one bad file must not stop the rest
+                rows.append((None, f"{type(e).__name__}: {e}"[:200]))
+        return pd.DataFrame(rows, columns=["text", "error"])
 
     return read(content)
 
 
-def parse_documents(files: DataFrame, reader: PdfReader | None = None, paragraphs: str = "last_tag") -> DataFrame:
+def parse_documents(files: DataFrame, reader: PdfReader = read_pages, paragraphs: str = "last_tag") -> DataFrame:
     """files (name, content and others) with text and error; what is neither .docx nor .pdf is an error."""
     ship_package(files.sparkSession)
     docx, pdf = F.col("name").rlike(r"(?i)\.docx\z"), F.col("name").rlike(r"(?i)\.pdf\z")
     some = files.filter(docx).withColumn("unpacked", _unpack_body(F.col("content")))
     some = some.withColumns({"text": docx_text(F.col("unpacked.xml"), paragraphs), "error": F.col("unpacked.error")}).drop("unpacked", "content")
-    pages = pdf_text(F.col("content"), reader) if reader else F.lit(None).cast("string")
-    more = files.filter(pdf).withColumns({"text": pages, "error": F.lit(None if reader else "no PDF reader").cast("string")}).drop("content")
+    more = files.filter(pdf).withColumn("read", pdf_text(F.col("content"), reader))
+    more = more.withColumns({"text": F.col("read.text"), "error": F.col("read.error")}).drop("read", "content")
     rest = files.filter(~docx & ~pdf).withColumns({"text": F.lit(None).cast("string"), "error": F.lit("unsupported file type")}).drop("content")
     return some.unionByName(more).unionByName(rest)

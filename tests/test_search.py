@@ -224,6 +224,18 @@ def test_files(spark, tmp_path):
     assert (picked[0].name, bytes(picked[0].content)) == ("B.PDF", b"pdf") and picked[1].error and picked[2].error
 
 
+def test_pdf_reader():
+    from groundsearch.plans.corpora import pdf_file
+    from groundsearch.sources.pdf import read_pages, shown
+
+    for packed in (False, True):
+        assert ["".join(p) for p in read_pages(pdf_file("ab (c)\\d é\nsecond 🙂", packed))] == ["ab (c)\\d é", "second 🙂"]
+    assert shown(b"BT (a\\(b(c)\\)\\101\\n) Tj [(x) -300 (y) 5 <7A>] TJ (one) ' 1 2 (two) \" ET", {}) == ["a(b(c))A\n", "x yz", "one", "two"]
+    for bad in (b"no", b"%PDF-1.4 /Encrypt 3 0 R"):
+        with pytest.raises(ValueError):
+            read_pages(bad)
+
+
 def test_versions_resolve(spark):
     listing = '<a href="q/23501-i50.zip"></a><A HREF="r/23501-H90.ZIP"></A><a href="s/23501-i50.zip"></a><a href="t/23502-j00.zip"></a>'
     files = resolve.parse_listings(spark.createDataFrame([("23.501", listing), ("99.999", "")], "number string, html string"))
