@@ -53,7 +53,8 @@ def collapse(turns: DataFrame, **columns: str) -> DataFrame:
 
     Of equal conversations the one with the least id stays, and copies says how many there were.  One that is a proper
     prefix of another goes.  Null ids are one conversation; null roles and texts differ from empty ones, and are
-    rendered as empty.  Turns that repeat are kept.  Other columns are not read.  An empty table gives an empty result.
+    rendered as empty.  A turn mark within a role or text gets a backslash after its first sign, so no text can pose as another
+    turn.  Turns that repeat are kept.  Other columns are not read.  An empty table gives an empty result.
     """
     prefixes = materialise(turn_prefixes(turns, **columns), "prefixes")
     wholes = prefixes.filter("rank = n_turns").groupBy("n_turns", "p1", "p2").agg(
@@ -62,7 +63,8 @@ def collapse(turns: DataFrame, **columns: str) -> DataFrame:
     shorter = prefixes.filter("rank < n_turns").select(F.col("rank").alias("n_turns"), "p1", "p2").distinct()
     most = wholes.join(shorter, ["n_turns", "p1", "p2"], "left_anti").select(F.col("conv").alias("conv_"), "copies")
     kept = prefixes.join(materialise(most, "maximal"), F.col("conv").eqNullSafe(F.col("conv_")))
-    turn = F.concat(F.lit("<|im_start|>"), F.coalesce("role", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")), F.lit("<|im_end|>\n"))
+    said = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"<\|(im_start|im_end)\|>", r"<\\|$1|>")
+    turn = F.concat(F.lit("<|im_start|>"), said("role"), F.lit("\n"), said("text"), F.lit("<|im_end|>\n"))
     parts = kept.groupBy("conv", F.floor((F.col("rank") - 1) / PART).alias("part"), "n_turns", "copies").agg(
         F.array_sort(F.collect_list(F.struct("rank", turn.alias("turn")))).alias("turns")
     )
@@ -86,6 +88,7 @@ WITH r AS (
   SELECT * FROM d WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.head = d.turns)
 )
 SELECT m.conv_id, CAST((r.k - 1) // 512 AS BIGINT) AS part, m.n_turns, m.copies,
-       string_agg('<|im_start|>' || coalesce(r.role, '') || chr(10) || coalesce(r.text, '') || '<|im_end|>' || chr(10), '' ORDER BY r.k) AS text
+       string_agg('<|im_start|>' || regexp_replace(coalesce(r.role, ''), '<\|(im_start|im_end)\|>', '<\\|\1|>', 'g') || chr(10)
+                  || regexp_replace(coalesce(r.text, ''), '<\|(im_start|im_end)\|>', '<\\|\1|>', 'g') || '<|im_end|>' || chr(10), '' ORDER BY r.k) AS text
 FROM m JOIN r ON r.conv_id IS NOT DISTINCT FROM m.conv_id GROUP BY ALL
 """
