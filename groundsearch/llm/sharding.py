@@ -6,8 +6,9 @@ proportion to its weight.  When a child's weight grows, rows only move into it;
 out of it; rows that stay keep their place below.  So movement is confined to subtrees whose weights
 changed.  A new shard that comes as a region of its own takes rows only into itself.
 
-Only built-in functions run here.  Slots are numbered within (shard, bucket) groups of hashed rows and shifted
-by the counts of the buckets before, so no task sorts a whole shard.
+Only built-in functions run here.  A shard's rows go by a hash of their id, then id; their slots are numbered within
+buckets, ranges of the hash of some `BUCKET_ROWS` rows each, and shifted by the counts of the buckets before, so no
+task sorts a whole shard.
 """
 
 from __future__ import annotations
@@ -18,8 +19,11 @@ from pyspark.sql import functions as F
 from groundsearch.llm.common import materialise, read_table, row_ids
 
 SHARDS, BASE = 8, 8
-SLOT_BUCKETS = 512
+BUCKET_ROWS = 16_384
+#: Bucket counts that may be broadcast: 32 MB.
+BROADCAST_BUCKETS = 1_000_000
 SEED = "tree-1"
+SLOT_SEED = "tree-1|slot"
 
 #: Regions of racks of shards: {region: {rack: {shard: weight}}}
 Tree = dict[str, dict[str, dict[int, float]]]
@@ -74,19 +78,22 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     tree, grown = tree or default_tree(), grown or default_tree(SHARDS + 1)
     key, text = F.coalesce(F.concat(F.lit("="), F.col("id").cast("string")), F.lit("null")), F.coalesce(F.col("text"), F.lit(""))
+    place = F.conv(F.substring(F.md5(F.concat(F.lit(f"{SLOT_SEED}|"), key)), 1, 13), 16, 10).cast("long")
     rows = row_ids(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).select(
         "rid", "id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-        draw(key, tree).alias("shard"), draw(key, grown).alias("grown_shard"),
-        F.pmod(F.xxhash64("id", "rid"), F.lit(SLOT_BUCKETS)).alias("bucket"),
+        draw(key, tree).alias("shard"), draw(key, grown).alias("grown_shard"), place.alias("place"),
     )
     rows = materialise(rows, "placed")
+    buckets = -(-rows.count() // BUCKET_ROWS)
+    rows = rows.withColumn("bucket", F.floor(F.col("place") * (buckets / float(1 << 52))))
     counts = rows.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    # shards * SLOT_BUCKETS rows at most
-    shifts = F.broadcast(counts.select("shard", "bucket", before.alias("before")))
-    place = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("id", "rid")) - 1
-    return rows.withColumn("place", place).join(shifts, ["shard", "bucket"]).select(
-        "id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("before") + F.col("place")).cast("long").alias("slot"), "grown_shard"
+    shifts = counts.select("shard", "bucket", before.alias("before"))
+    # A row for each bucket of each shard at most.
+    shifts = F.broadcast(shifts) if buckets * SHARDS <= BROADCAST_BUCKETS else shifts.hint("merge")
+    within = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("place", "id", "rid")) - 1
+    return rows.withColumn("within", within).join(shifts, ["shard", "bucket"]).select(
+        "id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("before") + F.col("within")).cast("long").alias("slot"), "grown_shard"
     )
 
 
