@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from groundsearch.llm.common import WORD_PATTERN, materialise, read_table, row_ids
+from groundsearch.llm.common import WORD_PATTERN, fixed, free_name, materialise, read_table, row_ids
 
 WEIGHTS = (3, 1, 2)
 #: The budget as a fraction of all sizes.
@@ -54,17 +54,19 @@ def plan_mix(
     """One row per row of docs: rid, id, source, size (words), source_size, target, whole, extra, taken.
 
     taken = whole * size + extra, extra at most size.  Null text has no words.  A source without words gets
-    nothing.  Rows that repeat an id are documents of their own.  An empty table gives an empty result.
+    nothing.  Rows that repeat an id are documents of their own, in the order of a hash of id and text; equal rows go in any
+    order.  An empty table gives an empty result.
     """
     text, source = F.col(text_col), F.col(source_col)
-    sizes = row_ids(docs.select(F.col(id_col).alias("id"), source.alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size")))
+    order = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("|"), F.md5(F.coalesce(text, F.lit("")))))
+    size = F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
+    sizes = row_ids(fixed(docs).select(F.col(id_col).alias("id"), source.alias("source"), size.alias("size"), order.alias("order")))
     sizes = materialise(sizes, "sizes")
     sources = materialise(source_targets(sizes, weights, share, epochs), "sources")
     joined = sizes.join(sources.withColumnRenamed("source", "source_"), F.col("source").eqNullSafe(F.col("source_"))).drop("source_")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    order = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("id").cast("string"), F.lit(""))))
     buckets = F.ceil(F.col("n_docs") / bucket_rows)
-    dealt = joined.withColumns({"ratio": ratio, "order": order}).withColumns({
+    dealt = joined.withColumn("ratio", ratio).withColumns({
         "whole": F.floor("ratio"), "bucket": F.conv(F.substring("order", 1, 8), 16, 10).cast("long") % buckets,
     })
     group = Window.partitionBy("source", "bucket")
@@ -75,10 +77,12 @@ def plan_mix(
 
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str = "n_chars", **options) -> DataFrame:
-    """The mix: rows of docs as often as taken, with their columns; a cut repetition has its first words only, and its own chars_col."""
-    rid = "rid"
-    while rid in docs.columns:
-        rid += "_"
+    """The mix: rows of docs as often as taken, with their columns; a cut repetition has its first words only, and its own chars_col.
+
+    Nulls, repeated rows and empty tables are as in plan_mix(); a text without words is never taken.
+    """
+    docs = fixed(docs)
+    rid = free_name(docs)
     plan = plan_mix(docs, id_col, text_col, source_col, **options).filter("taken > 0")
     plan = materialise(plan.select(F.col("rid").alias(rid), F.struct("whole", "extra", "size").alias(f"{rid}plan")), "mix")
     got = row_ids(docs, rid).join(plan.hint("merge"), rid)
@@ -100,7 +104,9 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP3_SQL = r"""
 WITH sizes AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+         md5('mix-1|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))) AS o
+  FROM documents
 ), per AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n_docs FROM sizes GROUP BY source
 ), turns AS (
@@ -123,7 +129,7 @@ WITH sizes AS (
 ), joined AS (
   SELECT s.doc_id, s.source, s.size, t.source_size, t.target, t.n_docs,
          CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS ratio,
-         md5('mix-1|' || coalesce(CAST(s.doc_id AS VARCHAR), '')) AS o
+         s.o
   FROM sizes s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
 ), dealt AS (
   SELECT *, CAST(floor(ratio) AS BIGINT) AS whole,
