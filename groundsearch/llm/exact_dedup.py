@@ -1,7 +1,7 @@
 """Exact dedup by deterministic block naming.
 
-Each text is a string of fixed-size byte blocks.  Distinct blocks are sorted and numbered, and the
-number is the block's name; then adjacent pairs of names are sorted and numbered in turn, until
+Each text is a string of fixed-size byte blocks.  Distinct blocks are dealt by hash, sorted within their partition and
+numbered, and the number is the block's name; then adjacent pairs of names are sorted and numbered in turn, until
 each document has one name.  Equal names mean equal texts and nothing is hashed, so there are no
 collisions.
 
@@ -19,25 +19,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundsearch.llm.common import materialise, read_table, row_ids
+from groundsearch.llm.common import fixed, free_name, materialise, read_table, row_ids, without
 
 BLOCK = 2048
 END_BLOCK = 64
 
 
 def _names(blocks: DataFrame, keys: list[str], what: str) -> DataFrame:
-    """Sorted distinct keys with integer names."""
-    ordered = blocks.select(*keys).distinct().orderBy(*keys)
+    """Distinct keys, sorted in the partitions that distinct() deals them to, with integer names.
+
+    A sort by range would first send samples of the keys, which are whole blocks, to the driver.
+    """
+    ordered = blocks.select(*keys).distinct().sortWithinPartitions(*keys)
     return materialise(ordered.withColumn("name", F.monotonically_increasing_id()), what)
 
 
-def name_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """One row per row of docs: rid, id, text_sha256, keep_id, group_size, kept.
+def name_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, digest: bool = True) -> DataFrame:
+    """One row per row of docs: rid, id, text_sha256 (null without digest), keep_id, group_size, kept.
 
     Null text counts as empty.  Of equal texts the row with the largest id stays (null ids sort
     first); among rows that repeat this id too, the last row of the scan does.  Other columns of
-    docs are not read.  An empty table gives an empty result.
+    docs are not read.  An empty table gives an empty result.  A very long text is many blocks, which no row gathers again.
     """
+    docs = fixed(docs)
     body = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = row_ids(docs.select(F.col(id_col).alias("id"), body.alias("body")))
     rows = rows.withColumns({
@@ -50,7 +54,7 @@ def name_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = materialise(shared.withColumn("shared", F.lit(True)), "ends")
     split = materialise(
         rows.join(shared.hint("merge"), ends, "left").select(
-            "rid", "id", "size", F.sha2("body", 256).alias("text_sha256"), F.coalesce("shared", F.lit(False)).alias("shared"),
+            "rid", "id", "size", (F.sha2("body", 256) if digest else F.lit(None).cast("string")).alias("text_sha256"), F.coalesce("shared", F.lit(False)).alias("shared"),
             F.when(F.col("shared"), F.col("body")).alias("body"),
         ),
         "split",
@@ -94,12 +98,11 @@ def name_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with their columns; decisions as in name_documents()."""
-    name = "rid"
-    while name in docs.columns:
-        name += "_"
-    gone = name_documents(docs, id_col, text_col).filter("not kept").select(F.col("rid").alias(name))
-    return row_ids(docs, name).join(materialise(gone, "gone").hint("merge"), name, "left_anti").select(*docs.columns)
+    """The rows of docs that stay, with their columns; nulls, ties, repeated rows and empty tables as in name_documents()."""
+    docs = fixed(docs)
+    name = free_name(docs)
+    gone = name_documents(docs, id_col, text_col, digest=False).filter("not kept").select(F.col("rid").alias(name))
+    return without(row_ids(docs, name), materialise(gone, "gone"), name).select(*docs.columns)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,6 +20,8 @@ CONTEXTS = SYMBOLS ** (ORDER - 1)
 GRAMS = SYMBOLS**ORDER
 #: Codes that a worker gathers before it counts them.
 GATHER = 12_000_000
+#: Codes looked up at once.
+BLOCK = 1 << 20
 _GAP = b"\0" * ORDER
 
 
@@ -136,13 +138,6 @@ class GramModel:
         at = np.minimum(np.searchsorted(self.keys, key := _mix(code)), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.logp[at], unseen)
 
-    def table(self) -> np.ndarray:
-        """All 64^4 answers of lookup(), 67 MB: a worker that scores many texts makes it once."""
-        middle = SYMBOLS ** (ORDER - 2)
-        out = (self.backoff.reshape(SYMBOLS, middle, 1) + self.lower.reshape(1, middle, SYMBOLS)).reshape(GRAMS)
-        out[self.grams] = self.logp
-        return out
-
 
 def kneser_ney(code: np.ndarray, n: np.ndarray) -> GramModel:
     """The interpolated model of 4-gram counts; lower orders use continuation counts."""
@@ -171,30 +166,9 @@ def kneser_ney(code: np.ndarray, n: np.ndarray) -> GramModel:
     return out
 
 
-_tables: dict[int, np.ndarray] = {}
-
-
-def worker_table(shared) -> np.ndarray:
-    """The table of a broadcast model, kept by the worker."""
-    if shared.id not in _tables:
-        _tables.clear()
-        _tables[shared.id] = shared.value.table()
-    return _tables[shared.id]
-
-
-class SharedModel:
-    """A broadcast GramModel; its size has the bound stated above."""
-
-    def __init__(self, spark, model: GramModel):
-        self.handle = spark.sparkContext.broadcast(model)
-        self.id = self.handle._jbroadcast.id()
-
-    def __getstate__(self):
-        return {"handle": self.handle, "id": self.id}
-
-    @property
-    def value(self) -> GramModel:
-        return self.handle.value
+def shared(spark, model: GramModel):
+    """The model as a broadcast; its size has the bound stated above."""
+    return spark.sparkContext.broadcast(model)
 
 
 def train(counts: DataFrame, label: int = 0) -> GramModel:
@@ -203,8 +177,11 @@ def train(counts: DataFrame, label: int = 0) -> GramModel:
     return kneser_ney(got.column("code").to_numpy(), got.column("n").to_numpy())
 
 
-def log_probs(table: np.ndarray, texts: list[bytes], fold: np.ndarray = FOLD) -> tuple[np.ndarray, np.ndarray]:
+def log_probs(model: GramModel, texts: list[bytes], fold: np.ndarray = FOLD) -> tuple[np.ndarray, np.ndarray]:
     """(log2 P, symbols) of each text, end mark included."""
     grams, first, last = codes(texts, fold)
-    total = np.concatenate([[0.0], np.cumsum(table[grams], dtype=np.float64)])
+    logp = np.empty(len(grams), np.float32)
+    for at in range(0, len(grams), BLOCK):
+        logp[at : at + BLOCK] = model.lookup(grams[at : at + BLOCK])
+    total = np.concatenate([[0.0], np.cumsum(logp, dtype=np.float64)])
     return total[last] - total[first], last - first

@@ -1,6 +1,7 @@
 """Exact dedup, mixing and sharding: brute force and edge cases."""
 
 import hashlib
+import math
 import random
 import zlib
 from collections import defaultdict
@@ -51,6 +52,32 @@ def test_drop_exact_copies_keeps_columns(spark):
     assert sorted(texts) == sorted({t or "" for _, t, _ in fixture_rows()})
 
 
+def test_rows_that_are_no_scan_are_fixed_first(spark):
+    from groundsearch.llm import common
+
+    docs = frame(spark, fixture_rows())
+    assert common.fixed(docs.filter("n_chars >= 0").select("*")).sameSemantics(docs.filter("n_chars >= 0").select("*"))
+    shuffled = docs.repartition(3)
+    assert hasattr(common.fixed(shuffled), "written_to")
+    assert hasattr(common.fixed(docs.withColumn("r", __import__("pyspark").sql.functions.rand())), "written_to")
+    left = exact_dedup.drop_exact_copies(shuffled)
+    assert sorted(r.text or "" for r in left.collect()) == sorted({t or "" for _, t, _ in fixture_rows()})
+
+
+def test_a_long_list_is_merged(spark, monkeypatch):
+    from groundsearch.llm import common
+
+    docs = frame(spark, fixture_rows())
+    short = sorted(map(str, exact_dedup.drop_exact_copies(docs).collect()))
+    monkeypatch.setattr(common, "BROADCAST_IDS", 0)
+    assert sorted(map(str, exact_dedup.drop_exact_copies(docs).collect())) == short
+
+
+def test_names_need_no_sample_on_the_driver(spark):
+    plan = exact_dedup.name_documents(frame(spark, fixture_rows()))._jdf.queryExecution().toString()
+    assert "rangepartitioning" not in plan
+
+
 def test_exact_dedup_of_nothing(spark):
     assert exact_dedup.name_documents(frame(spark, [])).count() == 0
     assert exact_dedup.drop_exact_copies(frame(spark, [])).count() == 0
@@ -138,6 +165,35 @@ def test_shards(spark):
             assert (r.size, r.text_crc32) == (len(data) + 1, zlib.crc32(data))
 
 
+def slow_draw(key, node, path=""):
+    """The shard of key, by hashlib and math."""
+    weight = lambda n: sum(map(weight, n.values())) if isinstance(n, dict) else n
+    while isinstance(node, dict):
+        u = lambda name: (int(hashlib.md5(f"{sharding.SEED}{path}/{name}|{key}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52  # noqa: B023, E731
+        name = min(node, key=lambda n: -math.log(u(n)) / weight(node[n])) if len(node) > 1 else next(iter(node))
+        node, path = node[name], f"{path}/{name}"
+    return name
+
+
+def test_shards_are_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", 100)
+    rows = [(i * 7, "t", "s") for i in range(1500)] + [(7, "u", "s"), (None, "v", "s")]
+    got = sharding.shard_documents(frame(spark, rows)).collect()
+    key = lambda i: "null" if i is None else f"={i}"
+    place = lambda i: int(hashlib.md5(f"{sharding.SLOT_SEED}|{key(i)}".encode()).hexdigest()[:13], 16)
+    shards = defaultdict(list)
+    for i, _, _ in rows:
+        shards[slow_draw(key(i), sharding.default_tree())].append(i)
+    slots = {}
+    for s, ids in shards.items():
+        for k, i in enumerate(sorted(ids, key=lambda i: (place(i), i is not None, i or 0))):
+            slots.setdefault(i, set()).add((s, k))
+    for r in got:
+        assert (r.shard, r.slot) in slots[r.id]
+        assert r.grown_shard == slow_draw(key(r.id), sharding.default_tree(9))
+    assert len({(r.shard, r.slot) for r in got}) == len(rows)
+
+
 def test_weight_changes_move_rows_within_their_subtree(spark):
     tree = {"r0": {"k0": {0: 1.0, 1: 1.0}, "k1": {2: 1.0, 3: 1.0}}, "r1": {"k2": {4: 2.0, 5: 1.0}, "k3": {6: 1.0}}}
     moved = {"r0": {"k0": {0: 1.5, 1: 0.5}, "k1": {2: 1.0, 3: 1.0}}, "r1": tree["r1"]}

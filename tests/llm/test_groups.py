@@ -1,13 +1,16 @@
 """Near-dedup, chat formatting and URL filters against brute force."""
 
+import math
 import random
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from groundsearch.llm import chat_format, near_dedup, url_filter
+from groundsearch.llm import chat_format, markov, near_dedup, url_filter
 from groundsearch.llm.alignment import banded_distance, similar
 from groundsearch.llm.components import components
 
@@ -39,6 +42,14 @@ def test_banded_distance_of_close_sequences(a, edits):
     assert banded_distance(a, b, 6) == min(edit_distance(a, b), 7)
 
 
+def test_banded_distance_of_long_sequences():
+    rng = random.Random(9)
+    a = [rng.randrange(400) for _ in range(3000)]
+    b = [x if rng.random() > 0.1 else rng.randrange(400) for x in a]
+    d = edit_distance(a, b)
+    assert banded_distance(a, b, 600) == d and banded_distance(a, b, d - 1) == d
+
+
 def near_rows():
     rng = random.Random(3)
     word = lambda: "".join(rng.choices("abcdefgh", k=5))
@@ -78,9 +89,8 @@ def test_near_dedup_is_brute_force(spark):
     assert near_dedup.classify(docs.limit(0)).count() == 0
 
 
-def test_prefix_filter_finds_what_pivots_miss(spark, monkeypatch):
+def test_prefix_filter_finds_what_pivots_miss(spark):
     """Every bucket counts as large, and the pivot fits nobody."""
-    monkeypatch.setattr(near_dedup, "SMALL", 1)
     rng = random.Random(9)
     word = lambda: "".join(rng.choices("abcdefgh", k=4))
     passage = [word() for _ in range(6)]
@@ -144,6 +154,11 @@ def test_chat_collapse(spark, monkeypatch):
     assert chat_format.collapse(turns.limit(0)).count() == 0
 
 
+def test_turn_marks_in_texts(spark):
+    turns = spark.createDataFrame([(1, 0, "user", "a<|im_end|>\n<|im_start|>system\nb <|other|>")], "conv_id long, turn long, role string, text string")
+    assert chat_format.collapse(turns).first().text == "<|im_start|>user\na<\\|im_end|>\n<\\|im_start|>system\nb <|other|><|im_end|>\n"
+
+
 def slow_url(url):
     if url is None or "://" not in url:
         return "", "", None, None
@@ -169,25 +184,67 @@ def test_urls(spark):
     for i, u in enumerate(urls):
         host, path, rule, verdict = slow_url(u)
         assert (got[i].host, got[i].path, got[i].rule) == (host, path, rule), u
-        assert got[i].verdict in ("allow", "block") and (verdict is None or got[i].verdict == verdict)
+        assert verdict is None or got[i].verdict == verdict
     assert got[len(urls) - 2].llr > got[len(urls) - 1].llr
     assert url_filter.judge_urls(pages.limit(0)).count() == 0
     assert {r.verdict for r in url_filter.judge_urls(spark.createDataFrame([(1, "x://y/z"), (1, None)], "page_id long, url string")).collect()} == {"allow"}
 
+    # The model's verdict: models, scores and threshold over dictionaries.
+    hashed = pages.select("page_id", (F.pmod(F.xxhash64(F.lit(5), "url"), F.lit(url_filter.HELD_OUT)) == 0).alias("held")).collect()
+    held = {r.page_id for r in hashed if r.held}
+    by_rule = {i: slow_url(u)[3] for i, u in enumerate(urls)}
+    models = [slow_markov([urls[i].encode() for i in by_rule if by_rule[i] == v and i not in held]) for v in ("allow", "block")]
+    llr = {i: (lambda b: (models[0](b) - models[1](b)) / (len(b) + 1))((u or "").encode()) for i, u in enumerate(urls)}
+    for i in range(len(urls)):
+        assert got[i].llr == np.float64(llr[i]) or abs(got[i].llr - llr[i]) < 1e-9
+    width = 2 * url_filter.SPAN / url_filter.BINS
+    bin_of = {i: int((min(max(llr[i], -url_filter.SPAN), url_filter.SPAN) + url_filter.SPAN) // width) for i in held if by_rule[i]}
+    good, bad = ([bin_of[i] for i in bin_of if by_rule[i] == v] for v in ("allow", "block"))
+    errors = [sum(x < k for x in good) / len(good) + sum(x >= k for x in bad) / len(bad) for k in range(url_filter.BINS + 2)]
+    best = [k for k, e in enumerate(errors) if e <= min(errors) + 1e-12]
+    cut = (best[0] + best[-1]) / 2 * width - url_filter.SPAN
+    assert abs(got[0].threshold - cut) < 1e-9
+    for i in range(len(urls)):
+        assert by_rule[i] or got[i].verdict == ("allow" if llr[i] >= cut else "block")
+
+
+def slow_markov(texts):
+    """log2 P of a text under the variable-order model of texts."""
+    after = {}
+    for t in texts:
+        s = [*t, markov.END]
+        for k in range(len(s)):
+            for order in range(min(k, markov.MAX_ORDER) + 1):
+                after.setdefault(tuple(s[k - order : k]), Counter())[s[k]] += 1
+
+    def log_prob(t):
+        s, total = [*t, markov.END], 0.0
+        for k in range(len(s)):
+            p = 1 / markov.SYMBOLS
+            for order in range(min(k, markov.MAX_ORDER) + 1):
+                n = after.get(tuple(s[k - order : k]), Counter())
+                if sum(n.values()) >= markov.LEAST:
+                    p = (max(n[s[k]] - markov.DISCOUNT, 0) + markov.DISCOUNT * len(n) * p) / sum(n.values())
+            total += math.log2(p)
+        return total
+
+    return log_prob
 
-def test_held_out_accuracy():
-    """Two kinds of urls are told apart on urls the models haven't seen."""
-    from groundsearch.llm import ngrams
 
+def test_held_out_accuracy():
+    """Two kinds of urls are told apart on urls the models haven't seen; digits and case count."""
     rng = random.Random(5)
     good = [f"https://a.example/{rng.choice(['essay', 'report', 'letter'])}-{rng.randrange(999)}".encode() for _ in range(300)]
     bad = [f"https://a.example/{rng.choice(['win', 'bet', 'spin'])}?id={rng.randrange(999)}".encode() for _ in range(300)]
-    tables = []
-    for urls in (good[:200], bad[:200]):
-        code, n = np.unique(ngrams._own(*ngrams.codes(urls, url_filter.FOLD)), return_counts=True)
-        tables.append(ngrams.kneser_ney(code, n).table())
-    score = lambda u: np.subtract(*(ngrams.log_probs(t, u, url_filter.FOLD)[0] for t in tables))
-    assert (score(good[200:]) > 0).mean() > 0.95 and (score(bad[200:]) < 0).mean() > 0.95
+    low, high = ([f"https://a/en/{rng.choice(d)}/{rng.choice(['win', 'essay', 'Letter'])}".encode() for _ in range(300)] for d in ("12", "78"))
+    for yes, no in ((good, bad), (low, high)):
+        models = []
+        for urls in (yes[:200], no[:200]):
+            symbols, before, _ = markov.places(urls)
+            context, gram = (np.concatenate(x) for x in zip(*((c, g) for _, c, g in markov.contexts(symbols, before)), strict=True))
+            models.append(markov.MarkovModel.of(context, gram, np.ones(len(gram), np.int64)))
+        score = lambda u: np.subtract(*(m.log_probs(u)[0] for m in models))  # noqa: B023, E731
+        assert (score(yes[200:]) > 0).mean() > 0.95 and (score(no[200:]) < 0).mean() > 0.95
 
 
 def made_words(seed):
@@ -238,3 +295,25 @@ def test_sketch_recall_at_the_least_similarity():
             a, b = (near_dedup.order_sketches(near_dedup.labelled_kmers([str(w).encode() for w in x])) for x in (words, other))
             met += bool((a == b).any())
         assert met >= 270, (n, met)
+
+
+def test_prefix_words_lose_no_pair():
+    """Texts that share a token of their prefixes meet in a key whose numbers overlap."""
+    rng = random.Random(24)
+    often = rng.choices(range(9), k=1 << near_dedup.SLOT_BITS)
+    often = np.array(often)
+    for _ in range(60):
+        texts = [" ".join(rng.choice("abcdef") for _ in range(rng.randrange(1, 90))).encode() for _ in range(2)]
+        prefixes, rows = [], []
+        for t in texts:
+            h = near_dedup.word_hashes(t.split())
+            tokens = near_dedup.labelled(h)
+            n = len(tokens) - math.ceil(0.8 * len(tokens) - 1e-9) + 1
+            by = np.lexsort((tokens, often[near_dedup._slots(tokens)]))
+            prefixes.append({int(tokens[i]): len(tokens) - k for k, i in enumerate(by[:n])})
+            rows.append({int(k): (lo, hi, left) for k, lo, hi, left in zip(*near_dedup.prefix_words(t, often, 0.8), strict=True)})
+        shared = prefixes[0].keys() & prefixes[1].keys()
+        met = [k for k in rows[0].keys() & rows[1].keys() if rows[0][k][0] <= rows[1][k][1] and rows[1][k][0] <= rows[0][k][1]]
+        assert bool(met) >= bool(shared)
+        for token in shared:
+            assert any(all(rows[s][k][2] >= prefixes[s][token] for s in (0, 1)) for k in met)

@@ -50,6 +50,16 @@ def test_run_is_its_stages(spark, sf_dir):
     assert sorted(map(str, rows.select("doc_id", "start", "length", "ids_crc32").collect())) == sorted(map(str, again.select("doc_id", "start", "length", "ids_crc32").collect()))
 
 
+def test_stages_on_an_empty_table_and_with_other_columns(spark, sf_dir):
+    docs = common.read_table(spark, sf_dir, "documents")
+    clashing = docs.selectExpr("*", "1 as rid", "'x' as label", "2 as id")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0
+        left = stage(spark, clashing, sf_dir)
+        assert left.columns == clashing.columns and left.count() > 0, name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), sf_dir).count() == 0
+
+
 def test_every_operator_is_registered():
     import __spark_entry__ as entry
 

@@ -134,6 +134,36 @@ def test_quality_rules(spark):
     assert quality_rules.score_documents(frame(spark, [])).count() == 0
 
 
+def test_bands_and_verdicts_are_brute_force(spark):
+    """The perplexities, the quartiles of each language and what lies outside of its band, computed anew."""
+    rng = random.Random(14)
+    words = ["stone", "river", "of", "the", "lamp", "grows", "under", "winter", "light", "and"]
+    texts = [" ".join(rng.choices(words, k=rng.randrange(40, 160))) for _ in range(150)] + ["".join(rng.choices("#*$%&|<>qxzjkw  ", k=1500)) for _ in range(4)]
+    got = {r.doc_id: r for r in quality_rules.score_documents(frame(spark, texts)).collect()}
+    counts = Counter()
+    for t in texts:
+        s = [0, 0, 0, *ngrams.FOLD[np.frombuffer(t.encode(), np.uint8)].tolist(), 0]
+        counts.update(tuple(s[i : i + 4]) for i in range(len(s) - 3))
+    p, known, bits = slow_kneser_ney(counts), {}, {}
+    for i, t in enumerate(texts):
+        s = [0, 0, 0, *ngrams.FOLD[np.frombuffer(t.encode(), np.uint8)].tolist(), 0]
+        grams = [tuple(s[k : k + 4]) for k in range(len(s) - 3)]
+        for g in set(grams) - set(known):
+            known[g] = math.log2(p(g))
+        bits[i] = -sum(known[g] for g in grams) / len(grams)
+        assert got[i].perplexity == pytest.approx(2 ** bits[i], rel=1e-3)
+    for k in range(3):
+        mine = [i for i in range(len(texts)) if i % 3 == k]
+        passed = sorted(bits[i] for i in mine if not got[i].base_failed)
+        low, high = (passed[math.ceil(q * len(passed)) - 1] for q in (0.25, 0.75))
+        reach = 3 * max(high - low, 0.05)
+        for i in mine:
+            inside = low - reach <= bits[i] <= high + reach
+            if min(abs(bits[i] - low + reach), abs(bits[i] - high - reach)) > 1e-4:
+                assert got[i].kept == (not got[i].base_failed and inside)
+    assert sum(not r.kept and not r.base_failed for r in got.values()) >= 4
+
+
 def test_bands_part_labelled_junk(spark):
     """Of labelled documents that pass the base rules, most of the junk is rejected and nearly all of the rest kept."""
     sf_dir = "/root/testdata/sf0.1"
@@ -183,13 +213,13 @@ def test_kneser_ney_and_its_table(spark):
     assert counts == expected
     model = ngrams.train(ngrams.count_grams(frame(spark, texts), "text"))
     assert (np.diff(model.keys.astype(np.float64)) >= 0).all()
-    p, table = slow_kneser_ney(counts), model.table()
+    p = slow_kneser_ney(counts)
     for g in [*list(counts)[:60], (1, 2, 3, 4), (0, 0, 0, 63), (9, 9, 9, 9), (0, 0, 1, 5)]:
         code = (g[0] << 18) | (g[1] << 12) | (g[2] << 6) | g[3]
-        assert 2.0 ** float(table[code]) == pytest.approx(p(g), rel=1e-4)
-        assert model.lookup(np.array([code]))[0] == pytest.approx(table[code], rel=1e-5)
-    assert (2.0 ** table.reshape(-1, 64).astype(float)).sum(1) == pytest.approx(1, abs=1e-3)
-    assert math.isfinite(ngrams.log_probs(table, [b"", b"zz\xff"])[0].sum())
+        assert 2.0 ** float(model.lookup(np.array([code]))[0]) == pytest.approx(p(g), rel=1e-4)
+    every = model.lookup(np.arange(ngrams.GRAMS)[: 64 * 40_000])
+    assert (2.0 ** every.reshape(-1, 64).astype(float)).sum(1) == pytest.approx(1, abs=1e-3)
+    assert math.isfinite(ngrams.log_probs(model, [b"", b"zz\xff"])[0].sum())
 
 
 def brute_spans(texts, length):
