@@ -47,6 +47,14 @@ def test_chunks_lose_no_text(spark, lines):
     assert all(len(r.text) <= 20 or r.text in kept for r in rows)
 
 
+def test_long_and_null_texts(spark):
+    lines = [f"{k} words of a line that is no heading" for k in range(30_000)]
+    docs = spark.createDataFrame([(1, "\n".join(lines)), (2, None), (3, "x"), (4, "")], "d long, text string")
+    rows = chunking.chunk_documents(docs).orderBy("d", "pos").collect()
+    assert " ".join(r.text for r in rows if r.d == 1) == " ".join(lines) and all(len(r.text) <= 900 for r in rows)
+    assert [(r.d, r.text) for r in rows if r.d > 1] == [(3, "x")]
+
+
 def test_ids_run_across_documents(spark):
     docs = spark.createDataFrame([("s2", "b", "x"), ("s1", "z", "1A\n2B"), ("s1", "a", "1A\n2B\n3C")], "spec string, source string, text string")
     rows = chunking.with_ids(chunking.chunk_documents(docs), "spec", ["spec", "source"]).orderBy("ordinal").collect()
