@@ -7,10 +7,11 @@ are linked; linked texts are one class.
 
 Exact copies are folded into one row for each text first.  A bucket's members are compared with a pivot, the one
 that meets most texts over all its buckets, so a bucket of n texts gives n - 1 pairs, and buckets of one group give
-mostly the same ones.  Links so far make components.  A bucket with a member in another one than its pivot, as a common
-passage makes, goes on whole: it is dealt anew by the rarest words of its texts (the prefix filter, which loses no pair), and
-in each of these word buckets the members apart are compared with all of other components that lengths and
-positions allow.  So no bucket is cut.
+mostly the same ones.  Links so far make components, and a member that is in
+another one than its bucket's pivot goes on: in a small bucket it is compared with all members of other
+components.  A large one, which a common passage or a group of copies makes, goes on whole: it is dealt anew by the
+rarest words of its texts (the prefix filter, which loses no pair), and in each of these word buckets the
+members apart are compared with all of other components that lengths and positions allow.  So no bucket is cut.
 
 Scale: what is shuffled is sketches (8 bytes each) and, once, texts.  Bucket tables are written before
 joins, so adaptive execution may split hot buckets, pivots and classes.
@@ -32,7 +33,11 @@ from groundsearch.llm.components import components
 from groundsearch.llm.ngrams import as_bytes
 
 K, PICKS, SKETCHES, SIMILARITY = 5, 2, 96, 0.8
-#: Hash bits by which the words of open buckets are counted, to take rare ones first.
+#: Members of a bucket up to which those apart from the pivot are compared with every member.
+SMALL = 12
+#: Partners in small buckets up to which a text is compared with each of them; with more, its rare words choose among them.
+PARTNERS = 16
+#: Hash bits by which the words of large buckets are counted, to take rare ones first.
 SLOT_BITS = 20
 #: Hashes of words that a Python worker keeps, some 150 bytes each.
 KNOWN_WORDS = 1 << 17
@@ -144,7 +149,10 @@ def _aligned(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
 
 def links(rows: DataFrame, docs: DataFrame, text_col: str, least: float = SIMILARITY) -> DataFrame:
-    """a, b: verified links between the rows of sketch_rows(), one for each different text; docs has a rid column."""
+    """a, b: edges that join what verified links join, between the rows of sketch_rows(), one for each different text; docs has a rid column.
+
+    Links of pivots are given as a star for each component.
+    """
     members = materialise(rows.select("rid", "n_words", F.explode("sketches").alias("sketch")), "members")
     buckets = members.groupBy("sketch").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = members.join(materialise(buckets, "buckets").hint("merge"), "sketch")
@@ -154,25 +162,43 @@ def links(rows: DataFrame, docs: DataFrame, text_col: str, least: float = SIMILA
     members = materialise(members.join(central.hint("merge"), "rid"), "members")
     pivots = members.groupBy("sketch").agg(F.max(F.struct("central", "rid", "n_words")).alias("pivot"))
     members = members.join(materialise(pivots, "pivots").hint("merge"), "sketch")
-    members = materialise(members.select("sketch", "rid", "n_words", "pivot"), "members")
+    members = materialise(members.select("sketch", "rid", "n_words", "pivot", "size"), "members")
     needed = materialise(members.select("rid").distinct(), "needed")
     texts = materialise(docs.select("rid", F.col(text_col).alias("text")).join(needed.hint("merge"), "rid"), "texts")
     left = members.filter(F.col("rid") != F.col("pivot.rid"))
     to_pivot = lambda m: m.select(F.col("rid").alias("a"), F.col("pivot.rid").alias("b"), F.col("n_words").alias("n_a"), F.col("pivot.n_words").alias("n_b"))
     decided = _decide(to_pivot(left), texts, least)
 
-    # What pivots have linked so far is one.  A bucket with members apart from its pivot goes on whole, as they may be like any of its members.
+    # What pivots have linked so far is one; only members apart from their bucket's pivot go on.
     label = components(decided.filter("linked").select("a", "b"))
     members = members.join(label.withColumnRenamed("node", "rid").hint("merge"), "rid", "left").withColumn("label", F.coalesce("label", "rid"))
-    members = members.select("sketch", "rid", "n_words", "label", F.col("pivot.rid").alias("pivot"))
-    pivots = label.select(F.col("node").alias("pivot"), F.col("label").alias("pivot_label")).hint("merge")
-    apart = F.col("label") != F.coalesce("pivot_label", "pivot")
-    members = materialise(members.join(pivots, "pivot", "left").select("sketch", "rid", "n_words", "label", apart.alias("apart")), "members")
-    open_ = materialise(members.groupBy("sketch").agg(F.max("apart").alias("open")), "open").hint("merge")
-    whole = members.join(open_, "sketch").groupBy("rid", "n_words", "label").agg(F.max("apart").alias("apart"), F.max("open").alias("open"))
-    big = _with_prefixes(whole.filter("open").drop("open"), texts, least)
-    rest = _decide(_prefix_pairs(big, least), texts, least)
-    return decided.unionByName(rest).filter("linked").select("a", "b")
+    members = members.withColumn("pivot_rid", F.col("pivot.rid")).drop("pivot")
+    pivots = label.select(F.col("node").alias("pivot_rid"), F.col("label").alias("pivot_label")).hint("merge")
+    is_apart = (F.col("label") != F.coalesce("pivot_label", "pivot_rid")).alias("apart")
+    members = materialise(members.join(pivots, "pivot_rid", "left").select("sketch", "rid", "n_words", "size", "label", is_apart), "members")
+    apart = members.filter("apart")
+    # A large bucket with members apart goes on whole, as what is apart may be like any of its members; so do the small ones of a
+    # text that has many partners in them.
+    busy = apart.filter(F.col("size") <= SMALL).groupBy("rid").agg(F.sum(F.col("size") - 1).alias("partners")).filter(F.col("partners") > PARTNERS)
+    loose = apart.join(busy.select("rid", F.lit(True).alias("busy")).hint("merge"), "rid", "left").filter((F.col("size") > SMALL) | F.col("busy"))
+    crowded = materialise(loose.select("sketch").distinct(), "crowded").hint("merge")
+    more = _pairs(apart.join(crowded, "sketch", "left_anti"), members.filter(F.col("size") <= SMALL), "sketch")
+    marked = members.join(crowded.withColumn("crowded", F.lit(True)), "sketch", "left")
+    per = marked.groupBy("rid", "n_words", "label").agg(F.max("crowded").alias("crowded"), F.max(F.col("crowded") & F.col("apart")).alias("apart"))
+    whole = per.filter("crowded").drop("crowded")
+    big = _with_prefixes(whole, texts, least)
+    rest = _decide(more.unionByName(_prefix_pairs(big, least)), texts, least)
+    stars = label.filter("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))
+    return stars.unionByName(rest.filter("linked").select("a", "b"))
+
+
+def _pairs(some: DataFrame, others: DataFrame, key: str) -> DataFrame:
+    """a, b, n_a, n_b with a > b: rows of some and others (rid, n_words, label) with the same key and different labels; buckets are small."""
+    one, two = F.struct("rid", "n_words"), F.struct(F.col("rid_").alias("rid"), F.col("n_words_").alias("n_words"))
+    right = others.select(key, F.col("rid").alias("rid_"), F.col("n_words").alias("n_words_"), F.col("label").alias("label_"))
+    both = some.select(key, "rid", "n_words", "label").join(right.hint("merge"), key).filter("label <> label_")
+    both = both.select(F.greatest(one, two).alias("x"), F.least(one, two).alias("y"))
+    return both.select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b"), F.col("x.n_words").alias("n_a"), F.col("y.n_words").alias("n_b"))
 
 
 def _decide(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
