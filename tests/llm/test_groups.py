@@ -160,6 +160,21 @@ def test_turn_marks_in_texts(spark):
     assert chat_format.collapse(turns).first().text == "<|im_start|>user\na<\\|im_end|>\n<\\|im_start|>system\nb <|other|><|im_end|>\n"
 
 
+def test_word_buckets_hold_to_sketches(spark, monkeypatch):
+    """Texts of two common passages meet in word buckets only within their own: every pair compared shares a sketch."""
+    rng, found = random.Random(5), []
+    passages = [" ".join(f"p{k}q{i}" for i in range(50)) for k in range(2)]
+    texts = [(i, f"{passages[i % 2]} " + " ".join(f"w{rng.randrange(40)}" for _ in range(30))) for i in range(60)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    was = near_dedup._prefix_pairs
+    monkeypatch.setattr(near_dedup, "_prefix_pairs", lambda big, least: found.append(was(big, least)) or found[-1])
+    classes = near_dedup.classify(docs)
+    assert classes.filter("kept").count() == 60
+    sketches = {r.rid: set(r.sketches) for r in near_dedup.sketch_rows(docs, "doc_id", "text").collect()}
+    pairs = {(r.a, r.b) for r in found[0].collect()}
+    assert pairs and all(sketches[a] & sketches[b] for a, b in pairs)
+
+
 def slow_url(url):
     if url is None or "://" not in url:
         return "", "", None, None
