@@ -3,10 +3,12 @@
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -261,3 +263,20 @@ def test_run_length_index(strings):
         inside = text[i:].split(b"\xff")[0]
         lengths = [k for k in range(len(inside) + 1) if any(text.startswith(inside[:k], j) for j in range(len(text)) if j != i)]
         assert longest == max(lengths, default=0)  # a lone border matches nothing
+
+
+def test_gram_counts_need_little_memory():
+    """Counting takes memory by the codes seen, not 8 bytes for each code of the alphabet."""
+    texts = ["".join(random.Random(i).choices("abcdefgh ", k=40_000)) for i in range(40)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[i : i + 8]), pa.array(np.arange(8, dtype=np.int32) % 2)], ["text", "label"]) for i in range(0, 40, 8)]
+    tracemalloc.start()
+    got = list(ngrams.counted(iter(batches)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20 < 8 * ngrams.GRAMS
+    for label, batch in enumerate(got):
+        n = Counter()
+        for t in texts[label::2]:
+            n.update(ngrams.codes([t.encode()])[0].tolist())
+        assert set(batch.column("label").to_pylist()) == {label}
+        assert dict(zip(batch.column("code").to_pylist(), batch.column("n").to_pylist(), strict=True)) == n
