@@ -345,3 +345,34 @@ def test_prefix_words_lose_no_pair():
         assert bool(met) >= bool(shared)
         for token in shared:
             assert any(all(rows[s][k][2] >= prefixes[s][token] for s in (0, 1)) for k in met)
+
+
+def made_pairs(spark, texts):
+    """What _prefix_pairs() makes of texts that share all sketches, and the pairs of its word buckets, one by one."""
+    words = [t.split() for t in texts]
+    members = spark.createDataFrame([(i, len(w), i, True, [4]) for i, w in enumerate(words)], "rid long, n_words long, label long, apart boolean, sketches array<long>")
+    docs = spark.createDataFrame(list(enumerate(texts)), "rid long, text string")
+    big = near_dedup._with_prefixes(members, docs, 0.8)
+    rows = [(r.rid, r.n_words, r.token, r.low, r.high, r.left) for r in big.collect()]
+    want = set()
+    for (a, n, k, lo, hi, left), (b, m, j, low, high, rest) in combinations(rows, 2):
+        if k == j and a != b and lo <= high and low <= hi and min(n, m, left, rest) >= 0.8 * max(n, m) - 1e-9:
+            want.add((max((a, n), (b, m))[0], min((a, n), (b, m))[0]))
+    return [(r.a, r.b) for r in near_dedup._prefix_pairs(big, 0.8).collect()], want
+
+
+def test_pairs_come_from_one_word_bucket(spark, monkeypatch):
+    """However many tokens two texts have in common, they make one row; one that looks back on few makes more, and none is lost."""
+    rng = random.Random(31)
+    texts = []
+    for _ in range(50):
+        passage = [f"p{i}" for i in range(60)]
+        texts.append(" ".join([*(rng.sample([f"w{i}" for i in range(60)], rng.randrange(20, 40))), *passage]))
+    got, want = made_pairs(spark, texts)
+    assert len(got) == len(want) > 800 and set(got) == want
+    repeating = [" ".join(rng.choices("abcdefg", k=rng.randrange(1, 120))) for _ in range(40)] + ["", "to " * 90, "to " * 99]
+    for few in (256, 3):
+        monkeypatch.setattr(near_dedup, "RAREST", few)
+        monkeypatch.setattr(near_dedup, "ROWS", 50)
+        got, want = made_pairs(spark, texts[:9] + repeating)
+        assert want and set(got) == want
