@@ -2,7 +2,10 @@
 
 import hashlib
 import math
+import os
 import random
+import re
+import time
 import tracemalloc
 import zlib
 from collections import Counter, defaultdict
@@ -14,6 +17,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from groundsearch.llm import ngrams, packing, quality_rules, run_index, span_dedup, token_counts, tokenization
+from groundsearch.shared import shared_dir
 
 ODD = [None, "", " ", "\n\n", "a", "Ä\u0301 b", "<|endoftext|> x", "日本語 テキスト 🙂🙂", "x" * 3000, "w " * 5000, "a\x00b", "ΑΣ ΟΔΟΣ", "don't we'll 12 3\u00a04\u2003z", "\u0301a \u0301b", "▁x▁"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rid long"
@@ -249,6 +253,27 @@ def test_span_dedup(spark, length, gram, wide):
         assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == e, texts[i]
 
 
+def test_span_dedup_leaves_one_table_and_no_shuffle(spark):
+    def tables():
+        return set(os.listdir(os.path.join(shared_dir(spark).removeprefix("file:"), "tables")))
+
+    def shuffles():
+        blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+        return {int(x) for x in re.findall(r"shuffle_(\d+)_", blocks.mkString(" "))}
+
+    passage = " ".join(map(str, range(40)))
+    docs = frame(spark, [f"{i} {passage[i % 9 :]} {i}" for i in range(60)])
+    span_dedup.remove_repeats(docs, length=40, gram=12, wide=2).collect()
+    old_tables, last = tables(), max(shuffles(), default=-1)
+    got = span_dedup.remove_repeats(docs, length=40, gram=12, wide=2)
+    assert [x.split("-")[0] for x in tables() - old_tables] == ["spans"]
+    until = time.monotonic() + 20  # executors delete files in the background
+    while (left := {x for x in shuffles() if x > last}) and time.monotonic() < until:
+        time.sleep(0.2)
+    assert not left
+    assert got.filter("n_removed > 0").count() == got.filter("n_removed > 0").count() == 60
+
+
 def test_span_dedup_of_nothing(spark):
     assert span_dedup.remove_repeats(frame(spark, [])).count() == 0
 
